@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, term_frequency
+from . import chunking, event_runs, grouped_split, nearest, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,18 @@ def p2_balance(spark: SparkSession, d: str) -> DataFrame:
     return p2_split(spark, d).groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("group_key").alias("groups"))
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar records of every record, with their labels."""
+    records = table(spark, d, "binary_records")
+    labels = records.select(F.col("record_id").alias("neighbour_id"), F.col("label").alias("neighbour_label"))
+    near = nearest.neighbours(records).withColumnRenamed("neighbour", "neighbour_id")
+    return near.join(labels, "neighbour_id", "left").select("record_id", "rank", "neighbour_id", "neighbour_label", F.round("similarity", 3).alias("similarity"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.similar_pairs(table(spark, d, "binary_records")).toDF("record_id_a", "record_id_b")
+
+
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return event_runs.event_runs(table(spark, d, "traces"))
 
@@ -64,4 +76,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p5_runs, p5_found, p6_pieces, p6_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found)}
