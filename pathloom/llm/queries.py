@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, nearest, term_frequency
+from . import chunking, event_runs, grouped_split, leakage, nearest, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,5 +75,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "paths")).select("path_id", "start_pos", "end_pos")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    short = F.lower(F.btrim(F.col("lang"))).isin("zh", "ja")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), short)
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items per review, with the longest span they share."""
+    return _leaks(spark, d)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "eval_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found, p9_leaks, p9_found)}
