@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .bloom import bloom_filter, passes
 from .rolling import winnow
 
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
@@ -80,27 +81,6 @@ def normalised(df: DataFrame, key: str, text: str) -> DataFrame:
     return base.mapInArrow(run, base.schema).filter(F.col("_text") != "")
 
 
-def _bits(hashes: np.ndarray, size: int) -> list[np.ndarray]:
-    h = hashes.view(np.uint64)
-    return [(h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(20)) % np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(39)) % np.uint64(size - 3)).astype(np.int64)]
-
-
-def _filter_of(prints: DataFrame, size: int) -> np.ndarray:
-    """A Bloom filter of the column ``_hash``, made on the tasks and merged as ``size / 8`` bytes each."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(size, bool)
-        for b in source:
-            for at in _bits(np.asarray(b.column(0)), size):
-                flags[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["_f"])
-
-    total = np.zeros(size // 8, np.uint8)
-    for r in prints.select("_hash").coalesce(8).mapInArrow(run, "_f binary").toLocalIterator():
-        total |= np.frombuffer(bytes(r[0]), np.uint8)
-    return total
-
-
 def extend(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, k: int) -> int:
     """The length of the longest equal span of a and b that holds the k-gram at these places; 0 if it differs."""
     if not np.array_equal(a[at_a : at_a + k], b[at_b : at_b + k]):
@@ -133,19 +113,17 @@ def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc
 
     kind_of_item = items.schema["_key"].dataType.simpleString()
     prints = written(items.mapInArrow(item_prints, f"_item {kind_of_item}, _kind int, _item_at int, _hash long"), "item-prints")
-    known = _filter_of(prints, filter_bits)
+    known = bloom_filter(prints, "_hash", filter_bits)
 
     def doc_prints(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(known).view(bool)
+        flags = np.frombuffer(known, np.uint8)
         for b in source:
             texts = ["" if t is None else letters_and_digits(t) for t in b.column(1).to_pylist()]
             hits: list[list[tuple[int, int, int]]] = [[] for _ in texts]
             for x, (span, k) in enumerate(spans):
                 for first, part in _parts(texts):
                     of, place, h = fingerprints(part, span, k)
-                    seen = np.ones(len(h), bool)
-                    for at in _bits(h, filter_bits):
-                        seen &= flags[at]
+                    seen = passes(flags, h)
                     for o, p, v in zip(of[seen].tolist(), place[seen].tolist(), h[seen].view(np.int64).tolist(), strict=True):
                         hits[first + o].append((x, p, v))
             rows = [i for i, found in enumerate(hits) if found]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, leakage, nearest, term_frequency
+from . import chunking, event_runs, grouped_split, leakage, nearest, path_keys, shared_spans, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "paths")).select("path_id", "start_pos", "end_pos")
 
 
+def _function() -> Column:
+    """Shard and address; null where the address is."""
+    at = path_keys.address(F.col("func_addr"))
+    return F.when(at.isNotNull(), F.struct(F.coalesce(path_keys.shard_name(F.col("file_name")), F.lit("")), at))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_pairs(table(spark, d, "paths"), "path_id", "tokens", _function()).toDF("path_id_a", "path_id_b")
+
+
+def p7_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each path is found in other functions."""
+    return shared_spans.shared_share(table(spark, d, "paths"), "path_id", "tokens", _function())
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     short = F.lower(F.btrim(F.col("lang"))).isin("zh", "ja")
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), short)
@@ -90,4 +105,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p9_leaks, p9_found)}
