@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as a Parquet table of the shared folder and reads it again."""
+def write_shared(df: DataFrame, name: str, partitions: list[str] | None = None) -> str:
+    """Writes ``df`` as a Parquet table of the shared folder; its URI."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
@@ -34,7 +34,12 @@ def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partitions)
     writer.parquet(at)
     _written.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a Parquet table of the shared folder and reads it again."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def drop_written() -> None:
