@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, leakage, nearest, path_keys, shared_spans, term_frequency
+from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, path_keys, shared_spans, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.similar_pairs(table(spark, d, "binary_records")).toDF("record_id_a", "record_id_b")
 
 
+def _sides() -> tuple[Column, Column]:
+    """Split (train, val or test, else null) and shard of a path."""
+    split = path_keys.split_name(F.col("split"))
+    return F.when(split.isin("train", "val", "test"), split), path_keys.shard_name(F.col("file_name"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.near_copy_pairs(table(spark, d, "paths"), *_sides()).select(F.col("a").alias("path_id_a"), F.col("b").alias("path_id_b"))
+
+
+def p4_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of val and test shards that train shards hold, per split and shard."""
+    return overlap.overlap_report(table(spark, d, "paths"), *_sides())
+
+
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return event_runs.event_runs(table(spark, d, "traces"))
 
@@ -105,4 +120,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p9_leaks, p9_found)}
