@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, path_keys, shared_spans, term_frequency
+from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, packing, path_keys, shared_spans, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,16 @@ def p7_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, d, "paths"), "path_id", "tokens", _function())
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2,048 tokens of every review text, or of every piece of a longer one."""
+    packed = packing.pack(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text"))
+    return packed.withColumnRenamed("_item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     short = F.lower(F.btrim(F.col("lang"))).isin("zh", "ja")
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), short)
@@ -120,4 +130,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p8_containers, p8_fill, p9_leaks, p9_found)}
