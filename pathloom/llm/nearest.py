@@ -112,16 +112,17 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of every row, unordered: first the k best stretches of 64 columns, then inside them."""
+    """Columns of the k largest of every row, unordered; the width is a multiple of 64.
+
+    The k largest lie in the k combs of 64 columns with the largest maxima.
+    """
     rows, n = sims.shape
-    if n <= 64 * 2 * k:
-        return np.argpartition(-sims, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (rows, 1))
-    wide = -(-n // 64)
-    if wide * 64 > n:
-        sims = np.pad(sims, ((0, 0), (0, wide * 64 - n)), constant_values=-4)
-    peak = sims.reshape(rows, wide, 64).max(2)
+    wide = n // 64
+    if wide <= k:
+        return np.argpartition(-sims, min(k, n) - 1, axis=1)[:, :k]
+    peak = sims.reshape(rows, 64, wide).max(1)
     best = np.argpartition(-peak, k - 1, axis=1)[:, :k]
-    cols = (best[:, :, None] * 64 + np.arange(64)).reshape(rows, -1)
+    cols = (best[:, :, None] + np.arange(64) * wide).reshape(rows, -1)
     near = np.take_along_axis(sims, cols, 1)
     return np.take_along_axis(cols, np.argpartition(-near, k - 1, axis=1)[:, :k], 1)
 
@@ -138,17 +139,23 @@ def _window_lists(keep: int, dim: int):  # noqa: ANN202
         for o in np.unique(order):
             at = np.flatnonzero(order == o)
             at = at[np.argsort(ids[at], kind="stable")]
-            w, names = v[at], ids[at]
-            for x in range(0, len(at), 512):
-                s = w[x : x + 512] @ w.T
+            n = len(at)
+            w = np.zeros((-(-n // 64) * 64, dim), np.float32)
+            w[:n] = v[at]
+            names = np.append(ids[at], np.zeros(len(w) - n, ids.dtype))
+            for x in range(0, n, 512):
+                s = w[x : min(x + 512, n)] @ w.T
                 rows = np.arange(len(s))
                 s[rows, x + rows] = -4
-                top = _top(s, min(keep, len(at)))
+                s[:, n:] = -4
+                top = _top(s, keep)
                 sim = np.round(np.take_along_axis(s, top, 1), 5)
                 ok = sim > -3
                 starts = pa.array(np.concatenate(([0], np.cumsum(ok.sum(1)))), pa.int32())
-                near = pa.StructArray.from_arrays([pa.array(-sim[ok], pa.float32()), pa.array(names[top][ok], pa.int64())], ["d", "id"])
-                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 512], pa.int64()), pa.ListArray.from_arrays(starts, near)], names=["_id", "_near"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[x : x + len(s)], pa.int64()), pa.ListArray.from_arrays(starts, pa.array(-sim[ok], pa.float32())), pa.ListArray.from_arrays(starts, pa.array(names[top][ok], pa.int64()))],
+                    names=["_id", "_d", "_near"],
+                )
 
     return run
 
@@ -160,7 +167,7 @@ def _ids_joined(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(ids, on, how)
 
 
-def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 6, window: int = 8192, seed: int = 7) -> DataFrame:
+def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 4, window: int = 24576, seed: int = 7) -> DataFrame:
     """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 1e-4) for every usable row."""
     base = df.select(F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(F.col("_id").isNotNull() & (F.size("_v") == dim))
 
@@ -203,8 +210,9 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
 
     windows = orderings * max(1, -(-n // window))
     keys = alone.mapInArrow(keyed, "_order int, _key long, _id long, _v binary").repartitionByRange(windows, "_order", "_key", "_id")
-    lists = keys.select("_order", "_id", "_v").mapInArrow(_window_lists(k + 1, dim), "_id long, _near array<struct<d:float,id:long>>")
-    merged = lists.groupBy("_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))), 1, k + 1).alias("_near"))
+    lists = keys.select("_order", "_id", "_v").mapInArrow(_window_lists(k + 1, dim), "_id long, _d array<float>, _near array<long>")
+    zipped = F.arrays_zip(F.flatten(F.collect_list("_d")).alias("d"), F.flatten(F.collect_list("_near")).alias("id"))
+    merged = lists.groupBy("_id").agg(F.slice(F.array_sort(F.array_distinct(zipped)), 1, k + 1).alias("_near"))
     merged = written(merged, "neighbour-classes")
 
     # members of the classes found: the k + 1 smallest ids of a class stand for it
