@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, packing, path_keys, shared_spans, term_frequency
+from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, packing, path_keys, sentences, shared_spans, term_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,5 +129,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "eval_id")
 
 
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered sentences with their text."""
+    docs = table(spark, d, "documents")
+    units = sentences.sentence_units(docs)
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    return units.join(texts, "doc_id").select("doc_id", "sentence", "sent_start", "sent_end", F.substring("text", F.col("sent_start").cast("int"), (F.col("sent_end") - F.col("sent_start") + 1).cast("int")).alias("sentence_text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p8_containers, p8_fill, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p8_containers, p8_fill, p9_leaks, p9_found, p10_sentences, p10_found)}

@@ -202,7 +202,8 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
         return -1.5 + 2 * odds if sloppy and word[-1:].isalpha() and len(opener) > 1 else -8.0
     if smile:
         return 5.0
-    letter = len(word) == 1 and word.isalpha()
+    unit = word in ("l", "g", "h", "m") and prior[-1:].isdigit()
+    letter = len(word) == 1 and word.isalpha() and not unit
     if word in ("m", "m.") and prior in ("a.", "p."):
         return 4.0 if nxt.isupper() and not sloppy else 0.5 + odds
     if word in ("a", "p") and after[:2].casefold() == "m.":
@@ -221,21 +222,24 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
         whole = word.isdigit()
         if whole and len(word) <= 2 and (opener in MONTHS_AND_FLOORS or prior in ("am", "vom", "bis", "zum")):
             return -8.0
-        if regex.fullmatch(r"\d{1,2}\.\d{1,2}", word) and opener in ("and", "und", "et", "y", "of", "the"):
-            return -8.0 if word.startswith("0") or prior in ("on", "am", "le", "el") else 3.0 + odds
+        if regex.fullmatch(r"(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])", word) and opener in ("and", "und", "et", "y", "of", "the"):
+            return -8.0
         if whole and len(word) <= 2 and prior in ("(", ""):
             return -2.0
         return 4.0 + odds
-    if letter or word in SOMETIMES or ("." in word and not any(c.isdigit() for c in word)):
+    if letter or unit or word in SOMETIMES or ("." in word and not any(c.isdigit() for c in word)):
         if nxt.isupper() and not sloppy:
-            return (1.0 if not letter else -1.5) + 1.5 * odds + 0.3 * words.closing(word)
+            if regex.match(r"[A-Z]{2,}\b", after) and len(opener) == 2:
+                return -4.0
+            return (3.0 if not letter else -1.5) + 1.5 * odds + 0.3 * words.closing(word)
         if nxt in "\"“„«¿¡'‘(":
             return 1.0
         if _is_caseless(nxt):
             return 1.0 + odds
         if lower and not sloppy:
             return -8.0
-        return -1.0 + 1.5 * odds + 0.5 * words.closing(word) if not digit else -3.0
+        often = word in ("etc", "usw", "cm", "mm", "kg", "km")
+        return (-0.3 if often else -1.0) + 1.5 * odds + 0.5 * words.closing(word) if not digit else -3.0
     if lower and not sloppy:
         return -5.0 + odds
     return 5.0 + 0.5 * odds
