@@ -10,11 +10,13 @@ whose token counts alone differ too much, and the edit distance decides the
 rest.  The pieces are all that a pair needs, so none is lost.
 
 Scale.  Exact copies are one text from the start, on either side, and return
-as members at the end.  The evaluation side is written to the shared folder in
-shards of at most ``passages`` passages; a task holds one automaton at a time
-and passes its training texts through one shard after another, so memory does
-not grow with either side and training texts are never copied.  Time is the
-product of training text and number of shards.
+as members at the end.  Only texts of about equal length can be near copies:
+training texts are spread by bands of length, and the automaton of a band holds
+the evaluation texts within reach of its lengths, so that every training text
+is scanned once by an automaton that is a fraction of the whole.  A band with
+more than ``passages`` passages has several automata, one held at a time, and a
+band with more training text than a task should have goes to several tasks, so
+memory grows with neither side.  The evaluation side lies in the shared folder.
 
 Defined cases
     null or unknown split: takes no part; null or short token lists: no pairs;
@@ -40,6 +42,8 @@ from ..sources.shared import write_shared, written
 from .arrow_tokens import batches, pack, token_batch, unpack
 
 PASSAGES = 600_000
+BAND = 1.25
+SLICE_TOKENS = 6_000_000
 _BUCKETS = 64
 _held: dict[str, "Shard"] = {}
 
@@ -114,23 +118,21 @@ class Shard:
         self.sizes = np.array([len(x) for x in self.texts], np.int64)
         self.counts = token_counts(self.texts)
         self.need = np.array([pieces_of(int(n), share) for n in self.sizes], np.int64)
+        each = np.repeat(np.arange(len(self.texts)), self.need)
+        j = np.arange(len(each)) - np.repeat(np.cumsum(self.need) - self.need, self.need)
+        start, stop = j * self.sizes[each] // self.need[each], (j + 1) * self.sizes[each] // self.need[each]
         number: dict[str, int] = {}
-        owner, start, passage, length = [], [], [], []
-        for i, values in enumerate(self.texts):
-            text, n, m = as_text(values), int(self.sizes[i]), int(self.need[i])
-            for j in range(m):
-                x, y = j * n // m, (j + 1) * n // m
-                owner.append(i)
-                start.append(x)
-                length.append(y - x)
-                passage.append(number.setdefault(text[x:y], len(number)))
-        order = np.argsort(np.array(passage, np.int64), kind="stable")
-        self.owner = np.array(owner, np.int64)[order]
-        self.start = np.array(start, np.int64)[order]
-        size = np.zeros(len(number), np.int64)
-        size[np.array(passage, np.int64)] = length
-        self.length = size
-        self.first = np.searchsorted(np.array(passage, np.int64)[order], np.arange(len(number) + 1))
+        passage = np.empty(len(each), np.int64)
+        at = 0
+        for values, m in zip(self.texts, self.need.tolist(), strict=True):
+            text = as_text(values)
+            passage[at : at + m] = [number.setdefault(text[x:y], len(number)) for x, y in zip(start[at : at + m].tolist(), stop[at : at + m].tolist(), strict=True)]
+            at += m
+        order = np.argsort(passage, kind="stable")
+        self.owner, self.start = each[order], start[order]
+        self.length = np.zeros(len(number), np.int64)
+        self.length[passage] = stop - start
+        self.first = np.searchsorted(passage[order], np.arange(len(number) + 1))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, k in number.items():
             self.automaton.add_word(p, k)
@@ -160,10 +162,13 @@ class Shard:
             first = last
 
 
-def _shard(at: str, share: float) -> Shard:
-    """The shard of a folder; a worker keeps the last one."""
+def _shard(at: str, share: float) -> Shard | None:
+    """The shard of a folder, null if no text fell into it; a worker keeps the last one."""
     if at not in _held:
         _held.clear()
+        fs, path = pyarrow.fs.FileSystem.from_uri(at)
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return None
         _held[at] = Shard(at, share)
     return _held[at]
 
@@ -219,44 +224,60 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
             flat = token_batch(b.column(3))
             values, at = flat.hashes[flat.codes], flat.starts.tolist()
             names = [xxhash.xxh3_128_digest(values[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.binary()), pa.array(pack(flat), pa.binary())], names=["_record", "_side", "_source", "_name", "_packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.binary()), pa.array(pack(flat), pa.binary()), pa.array(flat.lengths, pa.int32())], names=["_record", "_side", "_source", "_name", "_packed", "_n"])
 
-    texts = written(base.mapInArrow(named, f"_record {kind}, _side string, _source string, _name binary, _packed binary"), "texts")
+    texts = written(base.mapInArrow(named, f"_record {kind}, _side string, _source string, _name binary, _packed binary, _n int"), "texts")
     is_train = F.col("_side").isin(*train)
-    evals = written(texts.filter(~is_train).select("_name", "_packed").dropDuplicates(["_name"]), "eval-texts")
 
-    def passage_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(pieces_of(len(unpack(x)), share) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
+    def band(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n, F.lit(least)) / F.lit(float(max(1, least)))) / F.lit(math.log(BAND))).cast("int")
+
+    evals = texts.filter(~is_train).select("_name", "_packed", "_n").dropDuplicates(["_name"])
+    reach = F.sequence(band(F.ceil(F.col("_n") * (1 - share))), band(F.floor(F.col("_n") / (1 - share)) + 1))
+    evals = written(evals.select("_name", "_packed", "_n", F.explode(reach).alias("band")), "eval-texts")
+    pieces = F.floor(F.floor(F.col("_n") / (1 - share) + 1e-9) * share + 1e-9) + 1
+    # one row per band of length: a few dozen
+    shards = {r["band"]: max(1, -(-int(r["n"]) // passages)) for r in evals.groupBy("band").agg(F.sum(pieces).alias("n")).collect()}
+    trains = texts.filter(is_train).select("_name", "_packed", "_n", band(F.col("_n")).alias("_band"))
+    slices = {r["_band"]: 1 + int(r["n"]) // SLICE_TOKENS for r in trains.groupBy("_band").agg(F.sum("_n").alias("n")).collect() if r["_band"] in shards}
+
+    def of_band(column: str, counts: dict[int, int]) -> Column:
+        number = F.pmod(F.xxhash64("_name"), F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col(column)))
+        return number.cast("int")
 
-    total = evals.select("_packed").mapInArrow(passage_counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // passages))
-    numbered = evals.withColumn("shard", F.pmod(F.xxhash64("_name"), F.lit(shards)).cast("int"))
-    at = write_shared(numbered.repartition(shards, "shard"), "eval-shards", ["shard"])
-    folders = [f"{at}/shard={r[0]}" for r in numbered.select("shard").distinct().collect()]
+    if not slices:
+        empty = texts.limit(0).select("_name", F.col("_name").alias("_near"), F.lit(0).cast("long").alias("_distance"), F.lit(0).cast("long").alias("_covered"))
+        return empty, texts.select("_record", "_side", "_source", "_name")
+    folders = write_shared(evals.select("_name", "_packed", "band", of_band("band", shards).alias("shard")).repartition(len(shards), "band", "shard"), "eval-bands", ["band", "shard"])
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def through(names: list[bytes], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def through(band: int, names: list[bytes], held: list[bytes]) -> Iterator[pa.RecordBatch]:
             texts = [unpack(x) for x in held]
             counts = token_counts(texts)
-            for folder in folders:
-                shard = _shard(folder, share)
-                out = [(shard.names[e], names[t], d, c) for e, t, d, c in covered_pairs(shard, texts, counts, share)]
+            for i in range(shards[band]):
+                shard = _shard(f"{folders}/band={band}/shard={i}", share)
+                out = [(shard.names[e], names[t], d, c) for e, t, d, c in covered_pairs(shard, texts, counts, share)] if shard is not None else []
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["_name", "_near", "_distance", "_covered"])
 
-        names, held, size = [], [], 0
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        size: dict[int, int] = {}
         for b in rows:
-            names += b.column(0).to_pylist()
-            held += b.column(1).to_pylist()
-            size += sum(map(len, b.column(1).to_pylist()))
-            if size > 16_000_000:
-                yield from through(names, held)
-                names, held, size = [], [], 0
-        if held:
-            yield from through(names, held)
-
-    classes = texts.filter(is_train).select("_name", "_packed").dropDuplicates(["_name"]).mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
+            for band, name, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                names, texts = held.setdefault(band, ([], []))
+                names.append(name)
+                texts.append(packed)
+                size[band] = size.get(band, 0) + len(packed)
+                if size[band] > 16_000_000:
+                    yield from through(band, *held.pop(band))
+                    size[band] = 0
+        for band in sorted(held):
+            yield from through(band, *held[band])
+
+    # copies meet in one slice of their band, where the first of them stays
+    spread = trains.filter(F.col("_band").isin(*slices)).withColumn("_slice", of_band("_band", slices))
+    one = spread.groupBy("_band", "_slice", "_name").agg(F.first("_packed").alias("_packed"))
+    classes = one.repartition(sum(slices.values()), "_band", "_slice").select("_band", "_name", "_packed").mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
     return written(classes, "near-copies"), texts.select("_record", "_side", "_source", "_name")
 
 
