@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import QUERIES, SQL, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _module in ("scans", "diagnostics", "symbols"):
+    importlib.import_module(f"pathloom.plans.{_module}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
