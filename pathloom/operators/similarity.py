@@ -27,7 +27,7 @@ def block_products(df: DataFrame, key: str, group: str, vector: str, query: Colu
     n = base.agg(F.count("*").alias("n"), F.count_if("_q").alias("q")).first()
     rows_in, queries_in = max(1, -(-n["n"] // ROWS)), max(1, -(-n["q"] // QUERIES))
     rows = base.select("_k", "_g", "_v", F.pmod(F.xxhash64("_k"), F.lit(rows_in)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("_c"))
-    asked = base.filter("_q").select("_k", "_g", "_v", F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1)).cast("array<bigint>")).alias("_b"), F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(queries_in)).cast("int").alias("_c"))
+    asked = base.filter("_q").select(F.col("_k").alias("_ka"), F.col("_g").alias("_ga"), F.col("_v").alias("_va"), F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1)).cast("array<bigint>")).alias("_ba"), F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(queries_in)).cast("int").alias("_ca"))
 
     def matrix(values: pd.Series, width: int) -> np.ndarray:
         out = np.zeros((len(values), width))
@@ -36,12 +36,16 @@ def block_products(df: DataFrame, key: str, group: str, vector: str, query: Colu
         return np.nan_to_num(out)
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("_k"), right.sort_values("_k")
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        left = left.rename(columns={"_ka": "_k", "_ga": "_g", "_va": "_v"}).sort_values("_k")
+        right = right.sort_values("_k")
         width = max([1, *(len(v) for v in left["_v"]), *(len(v) for v in right["_v"])])
         a, b = matrix(left["_v"], width), matrix(right["_v"], width)
         return reduce(left, right, a @ b.T, [np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)])
 
-    return asked.groupBy("_b", "_c").cogroup(rows.groupBy("_b", "_c")).applyInPandas(product, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return asked.groupBy("_ba", "_ca").cogroup(rows.groupBy("_b", "_c")).applyInPandas(product, schema)
 
 
 def cosine_pairs(df: DataFrame, key: str, group: str, vector: str, query: Column, least: float) -> DataFrame:
