@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL, Query
 
-for _module in ("scans", "diagnostics", "symbols", "sequences", "vectors", "series", "graphs"):
+for _module in ("scans", "diagnostics", "symbols", "sequences", "vectors", "series", "graphs", "models", "streams"):
     importlib.import_module(f"pathloom.plans.{_module}")
 
 
