@@ -35,14 +35,14 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", unk: int = 1
     A vocabulary of at most ``most_sent`` terms goes to every task, which looks
     up each distinct token of a batch once; a larger one is joined.
     """
-    size = vocab.limit(most_sent + 1).count()
-    if size > most_sent:
+    sent = vocab.select("token", "id").limit(most_sent + 1).collect()
+    if len(sent) > most_sent:
         key = F.monotonically_increasing_id()
         rows = df.withColumn("_row", key)
         flat = rows.select("_row", F.posexplode(tokens).alias("_pos", "_token")).join(vocab.select(F.col("token").alias("_token"), "id"), "_token", "left")
         ids = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id")))), lambda e: e["id"]).alias("ids"))
         return rows.join(ids, "_row", "left").drop("_row").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    known = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+    known = {r["token"]: r["id"] for r in sent}
     at = df.columns.index(tokens)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +59,14 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", unk: int = 1
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the tokens of ids, by a map of the vocabulary when it is small, joined otherwise."""
-    size = vocab.limit(MOST_SENT + 1).count()
-    if size > MOST_SENT:
-        raise ValueError("decode needs a vocabulary of at most a million terms")
-    names = {r["id"]: r["token"] for r in vocab.select("token", "id").collect()}
+    """Adds ``decoded``: the tokens of ids, by a map of the vocabulary if it has at most a million terms, joined otherwise."""
+    sent = vocab.select("token", "id").limit(MOST_SENT + 1).collect()
+    if len(sent) > MOST_SENT:
+        rows = df.withColumn("_row", F.monotonically_increasing_id())
+        flat = rows.select("_row", F.posexplode(ids).alias("_pos", "_id")).join(vocab.select(F.col("id").alias("_id"), "token"), "_id", "left")
+        words = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit("<UNK>")).alias("t")))), lambda e: e["t"]).alias("decoded"))
+        return rows.join(words, "_row", "left").drop("_row").withColumn("decoded", F.coalesce("decoded", F.array().cast("array<string>")))
+    names = {r["id"]: r["token"] for r in sent}
     at = df.columns.index(ids)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
