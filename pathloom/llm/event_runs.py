@@ -52,5 +52,5 @@ def event_runs(df: DataFrame, entity: str = "trace_id", tokens: str = "tokens",
         F.max_by("_tick", F.when(F.col("_tick").isNotNull(), F.col("_pos"))).alias("last_tick"),
     )
     return runs.filter(F.col("n_events") >= least).select(
-        entity, F.col("_token").alias("token"), "start_pos", "end_pos", "n_events", "first_tick", "last_tick", (F.col("last_tick") - F.col("first_tick")).alias("duration")
+        entity, F.col("_token").alias("token"), F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), "n_events", "first_tick", "last_tick", (F.col("last_tick") - F.col("first_tick")).alias("duration")
     )

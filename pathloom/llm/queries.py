@@ -131,10 +131,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Numbered sentences with their text."""
-    docs = table(spark, d, "documents")
-    units = sentences.sentence_units(docs)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    return units.join(texts, "doc_id").select("doc_id", "sentence", "sent_start", "sent_end", F.substring("text", F.col("sent_start").cast("int"), (F.col("sent_end") - F.col("sent_start") + 1).cast("int")).alias("sentence_text"))
+    return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

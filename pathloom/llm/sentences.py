@@ -338,17 +338,19 @@ def sentences(text: str, words: Lexicon) -> list[tuple[int, int]]:
 
 
 def sentence_units(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc``, ``sentence`` (number from 1), ``sent_start``, ``sent_end`` of every sentence of every row."""
+    """``doc``, ``sentence`` (number from 1), ``sent_start``, ``sent_end``, ``sentence_text`` of every sentence of every row."""
     base = df.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     words = lexicon(base, "_text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            found = [sentences(t, words) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            found = [sentences(t, words) for t in texts]
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             flat = np.array([s for f in found for s in f], np.int64).reshape(-1, 2)
             number = np.array([i + 1 for f in found for i in range(len(f))], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["_doc", "sentence", "sent_start", "sent_end"])
+            parts = pa.array([t[x - 1 : y] for t, f in zip(texts, found, strict=True) for x, y in f], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(number), pa.array(flat[:, 0]), pa.array(flat[:, 1]), parts], names=["_doc", "sentence", "sent_start", "sent_end", "sentence_text"])
 
     kind = base.schema["_doc"].dataType.simpleString()
-    return base.mapInArrow(run, f"_doc {kind}, sentence int, sent_start long, sent_end long").withColumnRenamed("_doc", doc)
+    return base.mapInArrow(run, f"_doc {kind}, sentence int, sent_start long, sent_end long, sentence_text string").withColumnRenamed("_doc", doc)
