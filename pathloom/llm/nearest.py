@@ -37,6 +37,8 @@ from ..sources.shared import written
 
 SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 64, 12, 4
 BROADCAST_IDS = 1_000_000
+#: Cosines of half precision vectors are closer than this to the true ones.
+SLACK = 0.001
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -230,24 +232,39 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
 
 
 def exact_pairs(pairs: DataFrame, df: DataFrame, record: str = "record_id", vector: str = "embedding") -> DataFrame:
-    """``a``, ``b``, ``cosine`` in double precision from the stored vectors, of pairs a, b."""
+    """``a``, ``b``, ``cosine`` (to 12 digits, so that copies tie) in double precision from the stored vectors, of pairs a, b."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    v = _ids_joined(df.select(F.col(record).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")), ids, "_id", "left_semi").dropDuplicates(["_id"])
+    v = _ids_joined(df.select(F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v")), ids, "_id", "left_semi").dropDuplicates(["_id"])
     v = written(v, "pair-vectors")
     both = pairs.join(v.toDF("a", "_va"), "a").join(v.toDF("b", "_vb"), "b")
 
     def dot(x: str, y: str):  # noqa: ANN202
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, e: s + e)
 
-    return both.select("a", "b", (dot("_va", "_vb") / F.sqrt(dot("_va", "_va")) / F.sqrt(dot("_vb", "_vb"))).alias("cosine"))
+    return both.select("a", "b", F.round(dot("_va", "_vb") / (F.sqrt(dot("_va", "_va")) * F.sqrt(dot("_vb", "_vb"))), 12).alias("cosine"))
 
 
 def similar_pairs(df: DataFrame, record: str = "record_id", vector: str = "embedding", least: float = 0.8, k: int = 5, **search) -> DataFrame:  # noqa: ANN003
-    """``a`` < ``b`` of cosine at least ``least``, one among the k most similar of the other; near the threshold by exact cosine."""
-    near = neighbours(df, record, vector, k, **search).filter(F.col("similarity") >= least - 0.002)
-    pairs = near.select(F.least(record, "neighbour").alias("a"), F.greatest(record, "neighbour").alias("b"), "similarity")
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-pairs")
-    sure = pairs.filter(F.col("similarity") > least + 0.002).select("a", "b")
-    checked = exact_pairs(pairs.filter(F.col("similarity") <= least + 0.002).select("a", "b"), df, record, vector)
-    return sure.union(checked.filter(F.col("cosine") >= least).select("a", "b"))
+    """``a`` < ``b`` of cosine at least ``least``, one among the k most similar of the other (ties: the smaller id first).
+
+    Half precision decides all but the pairs close to the threshold, and those
+    close to a k-th place that a later one is close to as well: their cosines
+    are computed from the stored vectors.
+    """
+    near = neighbours(df, record, vector, k + 3, **search).filter(F.col("similarity") >= least - SLACK)
+    lists = near.groupBy(F.col(record).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour").alias("n"), F.col("similarity").alias("s")))).alias("_l"))
+    lists = lists.withColumn("_k", F.try_element_at("_l", F.lit(k))["s"]).withColumn("_after", F.try_element_at("_l", F.lit(k + 1))["s"])
+    open_end = F.coalesce(F.col("_k") - F.col("_after") < SLACK, F.lit(False))
+    each = lists.select("_id", F.col("_k").alias("_s"), open_end.alias("_open"), F.explode("_l").alias("_e")).select("_id", "_s", "_open", F.col("_e.rank").alias("_rank"), F.col("_e.n").alias("_n"), F.col("_e.s").alias("_sim"))
+    unsure = F.col("_open") & (F.abs(F.col("_sim") - F.col("_s")) < SLACK)
+    each = each.filter(unsure | (F.col("_rank") <= k))
+    each = written(each.select("_id", "_n", "_rank", F.coalesce(unsure, F.lit(False)).alias("_unsure"), (F.coalesce(unsure, F.lit(False)) | (F.col("_sim") < least + SLACK)).alias("_ask"), F.least("_id", "_n").alias("a"), F.greatest("_id", "_n").alias("b")), "near-pairs")
+    asked = each.filter("_ask").select("a", "b").distinct()
+    known = written(exact_pairs(asked, df, record, vector), "exact-pairs")
+    each = each.join(known, ["a", "b"], "left").filter(F.col("cosine").isNull() | (F.col("cosine") >= least))
+    sure = each.filter("NOT _unsure").select("_id", "a", "b")
+    taken = sure.groupBy("_id").agg(F.count("*").alias("_taken"))
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("cosine").desc(), "_n"))
+    rest = each.filter("_unsure").withColumn("_place", place).join(taken, "_id", "left").filter(F.col("_place") + F.coalesce("_taken", F.lit(0)) <= k)
+    return sure.select("a", "b").union(rest.select("a", "b")).distinct()

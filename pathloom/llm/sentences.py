@@ -157,6 +157,13 @@ def matched_pairs(line: str) -> list[tuple[int, int]]:
     return out
 
 
+def _after_mark(word: str) -> str:
+    """What follows the last mark inside a word, where a space is missing after it."""
+    word = regex.split(r"[!?！？。…]+", word)[-1]
+    head, dot, tail = word.rpartition(".")
+    return tail if dot and len(head) >= 3 and head.isalpha() and (tail in NEVER or tail in BEFORE_NUMBER) else word
+
+
 def _is_caseless(c: str) -> bool:
     return c.isalpha() and c.lower() == c.upper()
 
@@ -187,7 +194,7 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
     start = at
     while start and not line[start - 1].isspace():
         start -= 1
-    word = line[start:at].lstrip("\"'“„«»”‘’(（[「『¿¡").casefold()
+    word = _after_mark(line[start:at].lstrip("\"'“„«»”‘’(（[「『¿¡").casefold())
     prior = line[:start].rstrip()
     prior = prior[prior.rfind(" ") + 1 :].casefold()
     if not spaced:
@@ -278,6 +285,8 @@ def sentences(text: str, words: Lexicon) -> list[tuple[int, int]]:
                 continue
             spaced = len(after) < len(rest) or (smile and not e.group("smile").isspace())
             near = line[max(0, end - 60) : at]
+            if len(near) <= 12:
+                near += line[at : at + 60]
             sloppy = (near == near.lower() or near == near.upper()) and any(c.isalpha() and not _is_caseless(c) for c in near) and len(near) > 12
             if sloppy and near == near.lower() and after[:1].isupper():
                 sloppy = False
