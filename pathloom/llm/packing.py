@@ -76,29 +76,24 @@ def harmonic_plan(counts: dict[int, int], capacity: int, cuts: tuple[int, ...] =
     low = 1
     for high in (*cuts, capacity + 1):
         open_: list[tuple[int, int, int]] = []  # (-room, container, how many)
-        of_class: dict[int, list[int]] = {}
+        part, room = -1, 0
         for s in sorted((s for s in left if left[s] and low <= capacity // s < high), reverse=True):
-            of_class.setdefault(capacity // s, []).append(s)
-        for k, sizes in sorted(of_class.items()):
-            part, have, room = -1, 0, 0
-            for s in sizes:
-                if have:
-                    n = min(k - have, left[s])
-                    take(s, n, part, n)
-                    have, room = have + n, room - n * s
-                    if have == k:
+            k = capacity // s
+            if full := left[s] // k:
+                take(s, full * k, containers, k)
+                open_.append((k * s - capacity, containers, full))
+                containers += full
+            # the few left over share containers with those of the next sizes
+            while left[s]:
+                if room < s:
+                    if part >= 0:
                         open_.append((-room, part, 1))
-                        have = 0
-                if full := left[s] // k:
-                    take(s, full * k, containers, k)
-                    open_.append((k * s - capacity, containers, full))
-                    containers += full
-                if left[s]:
-                    part, have, room = containers, left[s], capacity - left[s] * s
-                    take(s, have, part, have)
-                    containers += 1
-            if have:
-                open_.append((-room, part, 1))
+                    part, room, containers = containers, capacity, containers + 1
+                n = min(left[s], room // s)
+                take(s, n, part, n)
+                room -= n * s
+        if part >= 0:
+            open_.append((-room, part, 1))
         fillers: list[int] = []
         for s in left:
             if left[s] and capacity // s >= high:
