@@ -48,7 +48,7 @@ def pair_ranking(spark: SparkSession, d: str) -> DataFrame:
     p = S.cosine_pairs(vectors(spark, d), "path_id", "func", "emb", _asked(), 0.2)
     p = p.select("a", "b", F.round("similarity", 6).alias("similarity"), F.col("same_group").alias("is_positive"))
     rank = F.row_number().over(Window.partitionBy("is_positive").orderBy(F.col("similarity").desc(), "a", "b"))
-    return p.withColumn("rank", rank).filter("rank <= 50")
+    return p.withColumn("rank", rank.cast("long")).filter("rank <= 50")
 
 
 @query(f"{_PAIRS} SELECT fa = fb AS is_positive, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p WHERE a <> b GROUP BY 1")
