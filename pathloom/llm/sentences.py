@@ -56,6 +56,10 @@ _ENDS = regex.compile(r"(?P<mark>\s?[!?؟！？‼⁇⁈⁉](?:\s?[.!?؟！？
 _THAI = regex.compile(r"(?:" + "|".join(THAI_ENDS) + r")(?=\s)(?P<smile>(?:\s*" + _SMILE + r")*)", regex.V1)
 _ALONE = regex.compile(r"(?:\s+" + _SMILE + r")+(?=\s)", regex.V1)
 _WORD = regex.compile(r"[^\s" + regex.escape("\"'“„«»”‘(（[「『¿¡-–—<") + r"][^\s]*")
+_MODEL = regex.compile(r"[A-Za-z]{2}[ -]?\d")
+_DATE = regex.compile(r"(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])")
+_CAPITALS = regex.compile(r"[A-Z]{2,}\b")
+_STRONG = regex.compile(r"[!?！？。…]+")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
 
 
@@ -159,7 +163,7 @@ def matched_pairs(line: str) -> list[tuple[int, int]]:
 
 def _after_mark(word: str) -> str:
     """What follows the last mark inside a word, where a space is missing after it."""
-    word = regex.split(r"[!?！？。…]+", word)[-1]
+    word = _STRONG.split(word)[-1]
     head, dot, tail = word.rpartition(".")
     return tail if dot and len(head) >= 3 and head.isalpha() and (tail in NEVER or tail in BEFORE_NUMBER) else word
 
@@ -215,7 +219,7 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
         return 4.0 if nxt.isupper() and not sloppy else 0.5 + odds
     if word in ("a", "p") and after[:2].casefold() == "m.":
         return -10.0
-    if word in BEFORE_NUMBER and (digit or nxt == "." or (word in ("no", "nr") and regex.match(r"[A-Za-z]{2}[ -]?\d", after))):
+    if word in BEFORE_NUMBER and (digit or nxt == "." or (word in ("no", "nr") and _MODEL.match(after))):
         return -10.0
     if word in BEFORE_NUMBER and (letter or word in ("fig", "vol", "pp", "pág", "núm", "ver", "bj", "ext")):
         return -6.0
@@ -229,14 +233,14 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
         whole = word.isdigit()
         if whole and len(word) <= 2 and (opener in MONTHS_AND_FLOORS or prior in ("am", "vom", "bis", "zum")):
             return -8.0
-        if regex.fullmatch(r"(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])", word) and opener in ("and", "und", "et", "y", "of", "the"):
+        if _DATE.fullmatch(word) and opener in ("and", "und", "et", "y", "of", "the"):
             return -8.0
         if whole and len(word) <= 2 and prior in ("(", ""):
             return -2.0
         return 4.0 + odds
     if letter or unit or word in SOMETIMES or ("." in word and not any(c.isdigit() for c in word)):
         if nxt.isupper() and not sloppy:
-            if regex.match(r"[A-Z]{2,}\b", after) and len(opener) == 2:
+            if _CAPITALS.match(after) and len(opener) == 2:
                 return -4.0
             return (3.0 if not letter else -1.5) + 1.5 * odds + 0.3 * words.closing(word)
         if nxt in "\"“„«¿¡'‘(":
