@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..operators import model as M
+from ..operators.training import train
 from .registry import query
 from .sequences import encoded
 
@@ -34,3 +35,10 @@ def encode_paths(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def predict_paths(spark: SparkSession, d: str) -> DataFrame:
     return _shown(M.predict_paths(_ids(spark, d), "path_id", "ids", _weights()))
+
+
+@query()
+def train_log(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs of training over all paths, as a log."""
+    *_, log = train(_ids(spark, d), "path_id", "ids", M.init_weights(VOCAB, emb=16, hidden=16, out=16, predictor=32), epochs=2, batch=64, rate=1e-3)
+    return spark.createDataFrame(log, "epoch int, loss double")
