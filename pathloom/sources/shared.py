@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the shared folder; set on the session where it was unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pathloom-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
