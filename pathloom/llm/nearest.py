@@ -12,8 +12,8 @@ however many, fill no window; each member's list is then made of its own class
 and of the members of the classes found.
 
 Accuracy.  ``orderings`` x ``window`` fix the recall; README.md has figures
-against brute force.  Windows hold half precision vectors, similarities are
-good to about 1e-4; pairs near a threshold are computed again from the stored
+against brute force.  Windows hold vectors at 12 bits a number, similarities
+are good to about 2e-4; pairs near a threshold are computed again from the stored
 vectors by ``exact_pairs``.
 
 Defined cases
@@ -37,7 +37,7 @@ from ..sources.shared import written
 
 SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 64, 12, 4
 BROADCAST_IDS = 1_000_000
-#: Cosines of half precision vectors are closer than this to the true ones.
+#: Cosines of packed vectors are closer than this to the true ones.
 SLACK = 0.001
 
 
@@ -113,6 +113,24 @@ def unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def pack12(v: np.ndarray) -> list[bytes]:
+    """Vectors at 12 bits a number, of the greatest one; what is lost of the length does not matter to a cosine."""
+    v = np.pad(v, ((0, 0), (0, v.shape[1] % 2)))
+    q = np.rint(v / np.maximum(np.abs(v).max(1, keepdims=True), 1e-30) * 2047).astype(np.int32) + 2048
+    a, b = q[:, ::2], q[:, 1::2]
+    out = np.stack([a >> 4, (a & 15) << 4 | b >> 8, b & 255], -1).astype(np.uint8).reshape(len(v), -1)
+    return [x.tobytes() for x in out]
+
+
+def unpack12(data: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors of packed ones."""
+    x = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1, 3).astype(np.int32)
+    q = np.empty((len(data), x.shape[1] * 2), np.float32)
+    q[:, ::2], q[:, 1::2] = x[:, :, 0] << 4 | x[:, :, 1] >> 4, (x[:, :, 1] & 15) << 8 | x[:, :, 2]
+    q = q[:, :dim] - 2048
+    return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+
+
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of every row, unordered; the width is a multiple of 64.
 
@@ -136,8 +154,7 @@ def _window_lists(keep: int, dim: int):  # noqa: ANN202
             return
         t = pa.Table.from_batches(parts)
         order, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-        v = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = unpack12(t.column(2).to_pylist(), dim)
         for o in np.unique(order):
             at = np.flatnonzero(order == o)
             at = at[np.argsort(ids[at], kind="stable")]
@@ -170,7 +187,7 @@ def _ids_joined(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
 
 
 def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 4, window: int = 24576, seed: int = 7) -> DataFrame:
-    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 1e-4) for every usable row."""
+    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 2e-4) for every usable row."""
     base = df.select(F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(F.col("_id").isNotNull() & (F.size("_v") == dim))
 
     def named(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +207,12 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
     def sampled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             _, v = usable(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in unit(v).astype(np.float16)], pa.binary())], names=["_v"])
+            yield pa.RecordBatch.from_arrays([pa.array(pack12(unit(v)) if len(v) else [], pa.binary())], names=["_v"])
 
     share = min(1.0, SAMPLE / max(1, n))
     part = base.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).mapInArrow(sampled, "_v binary").limit(2 * SAMPLE)
-    sample = np.frombuffer(b"".join(bytes(r[0]) for r in part.collect()), np.float16).reshape(-1, dim).astype(np.float32)
-    if len(sample) < 2:
-        sample = np.eye(2, dim, dtype=np.float32)
+    taken = [bytes(r[0]) for r in part.collect()]
+    sample = unpack12(taken, dim) if len(taken) > 1 else np.eye(2, dim, dtype=np.float32)
     fitted = Orderings(sample, orderings, seed)
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +222,7 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
                 continue
             v = unit(v)
             ids = b.column(0).take(pa.array(rows))
-            packed = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
+            packed = pa.array(pack12(v), pa.binary())
             for o in range(orderings):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), o), pa.int32()), pa.array(fitted.keys(v, o)), ids, packed], names=["_order", "_key", "_id", "_v"])
 
@@ -248,7 +264,7 @@ def exact_pairs(pairs: DataFrame, df: DataFrame, record: str = "record_id", vect
 def similar_pairs(df: DataFrame, record: str = "record_id", vector: str = "embedding", least: float = 0.8, k: int = 5, **search) -> DataFrame:  # noqa: ANN003
     """``a`` < ``b`` of cosine at least ``least``, one among the k most similar of the other (ties: the smaller id first).
 
-    Half precision decides all but the pairs close to the threshold, and those
+    The packed vectors decide all but the pairs close to the threshold, and those
     close to a k-th place that a later one is close to as well: their cosines
     are computed from the stored vectors.
     """

@@ -94,3 +94,12 @@ def test_hilbert_curve_goes_from_cell_to_cell():
 def test_hidden_columns_do_not_clash(spark, rows):
     df = frame(spark, rows[:30]).withColumn("_v", F.lit("x")).withColumn("_key", F.lit(1))
     assert nearest.neighbours(df, "id", "v", 2, 8).count() == 60
+
+
+@pytest.mark.parametrize("dim", [1, 7, 256])
+def test_packed_vectors_keep_their_direction(dim):
+    v = np.random.default_rng(0).normal(size=(50, dim)).astype(np.float32)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    back = nearest.unpack12(nearest.pack12(v), dim)
+    assert back.shape == v.shape and np.abs((back * u).sum(1) - 1).max() < 1e-5
+    assert np.abs(back @ back.T - u @ u.T).max() < nearest.SLACK
