@@ -1,7 +1,7 @@
-"""A Bloom filter of a column of 64-bit hashes, of a size fixed by parameter.
+"""A Bloom filter of a column of 64-bit hashes, of bounded size.
 
-However many hashes go in, the filter keeps its size, and it never loses one:
-past its capacity it only lets more others through.
+It has 16 bits a hash, counted, up to a greatest size fixed by parameter, and
+never loses a hash: past that size it only lets more others through.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+MOST_BITS = 1 << 30
+
 
 def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     h = np.ascontiguousarray(hashes).view(np.uint64)
     return [(h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(20)) % np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(39)) % np.uint64(size - 3)).astype(np.int64)]
 
 
-def bloom_filter(df: DataFrame, column: str, bits: int) -> bytes:
-    """The filter as ``bits / 8`` bytes; each of eight tasks sends one of that size."""
+def bloom_filter(df: DataFrame, column: str, most_bits: int = MOST_BITS) -> bytes:
+    """The filter of a stored table's column; each of at most eight tasks sends one of its size."""
+    bits = min(most_bits, max(1 << 10, 1 << (16 * max(1, df.count()) - 1).bit_length()))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(bits, bool)

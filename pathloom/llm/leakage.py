@@ -9,8 +9,7 @@ equal span around it, and a pair leaks if that reaches the wanted length.
 
 Scale.  The fingerprints of the training side that no evaluation text has are
 dropped where they are made, by a Bloom filter of the evaluation fingerprints;
-its size is fixed by parameter, so it stays small however many there are, and
-it loses none.  The hits are joined with the evaluation texts by key, training
+its size is bounded by parameter however many there are, and it loses none.  The hits are joined with the evaluation texts by key, training
 texts travel with their hits only.
 
 Defined cases
@@ -32,12 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .bloom import bloom_filter, passes
+from .bloom import MOST_BITS, bloom_filter, passes
 from .rolling import winnow
 
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
 SPANS = ((50, 26), (20, 10))
-FILTER_BITS = 1 << 25
 
 
 def letters_and_digits(text: str) -> str:
@@ -92,7 +90,7 @@ def extend(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, k: int) -> int:
     return k + int(back[0] if len(back) else n) + int(on[0] if len(on) else m)
 
 
-def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc_id", doc_text: str = "text", item: str = "eval_id", item_text: str = "text", spans: tuple[tuple[int, int], ...] = SPANS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc_id", doc_text: str = "text", item: str = "eval_id", item_text: str = "text", spans: tuple[tuple[int, int], ...] = SPANS, filter_bits: int = MOST_BITS) -> DataFrame:
     """``doc``, ``item``, ``longest`` shared span, of all pairs that share one of the wanted length.
 
     spans: (length, k) for items in general and for those where ``short_span`` (a

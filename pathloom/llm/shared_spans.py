@@ -5,7 +5,7 @@ two records share a span of that length exactly if they share an edge.
 
 1. Filter.  Every span of k tokens leaves a winnowed seed, a shorter k-mer, at
    the same place in all records that hold it.  Seeds of one owner only are
-   left behind; those of several go into a Bloom filter of fixed size.
+   left behind; those of several go into a Bloom filter of bounded size.
 2. Graph.  The second scan emits the k-mers around the seeds that pass.  Those
    of several owners are the edges that repeat; two of them that follow each
    other in every record that has either belong to one nonbranching path.
@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .arrow_tokens import batches, token_batch
-from .bloom import bloom_filter, passes
+from .bloom import MOST_BITS, bloom_filter, passes
 from .rolling import gram_hashes, mix, winnow
 
-FILTER_BITS = 1 << 26
 _SECOND = np.uint64(0x2545_F491_4F6C_DD1D)
 
 
@@ -55,7 +54,7 @@ def _seed_sizes(least: int) -> tuple[int, int]:
     return k, least - k + 1
 
 
-def repeated_edges(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeated_edges(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = MOST_BITS) -> DataFrame:
     """The occurrences of k-mers that records of several owners have: _record, _owner, _pos (from 1), _edge, _check, _n (occurrences)."""
     k, w = _seed_sizes(least)
     base = _long(df, record, tokens, owner, least)
@@ -74,7 +73,7 @@ def repeated_edges(df: DataFrame, record: str, tokens: str, owner: Column, least
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(owners[new])], names=["_seed", "_owner"])
 
     found = base.select("_owner", "_tokens").mapInArrow(seeds, "_seed long, _owner long")
-    several = found.groupBy("_seed").agg(F.min("_owner").alias("_a"), F.max("_owner").alias("_b")).filter("_a <> _b").select("_seed")
+    several = written(found.groupBy("_seed").agg(F.min("_owner").alias("_a"), F.max("_owner").alias("_b")).filter("_a <> _b").select("_seed"), "seeds")
     known = bloom_filter(several, "_seed", filter_bits)
 
     def edges(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +121,7 @@ def span_members(edges: DataFrame, least: int = 50) -> DataFrame:
     return runs.select(F.col("_f._edge").alias("_path"), F.col("_f._check").alias("_check"), "_record", "_owner", F.col("_f._pos").alias("_start"), "_end")
 
 
-def shared_pairs(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = FILTER_BITS) -> DataFrame:
+def shared_pairs(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = MOST_BITS) -> DataFrame:
     """``a`` < ``b``: records of different owners with a common span of ``least`` tokens."""
     members = span_members(repeated_edges(df, record, tokens, owner, least, filter_bits), least)
     members = written(members.select("_path", "_check", "_record", "_owner").distinct(), "span-members")
@@ -131,7 +130,7 @@ def shared_pairs(df: DataFrame, record: str, tokens: str, owner: Column, least:
     return x.join(y, same).select(F.col("x._record").alias("a"), F.col("y._record").alias("b")).distinct()
 
 
-def shared_share(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = FILTER_BITS) -> DataFrame:
+def shared_share(df: DataFrame, record: str, tokens: str, owner: Column, least: int = 50, filter_bits: int = MOST_BITS) -> DataFrame:
     """``record``, ``n_tokens``, ``shared_tokens``, ``share`` of every record with an id."""
     edges = repeated_edges(df, record, tokens, owner, least, filter_bits)
     starts = edges.select("_record", "_pos").distinct()

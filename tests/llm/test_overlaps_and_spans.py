@@ -144,7 +144,7 @@ def test_winnowing_keeps_a_gram_of_every_span(seqs, k, w):
 
 def test_bloom_filter_loses_nothing(spark):
     x = np.random.default_rng(0).integers(-(2**62), 2**62, 2000)
-    packed = np.frombuffer(bloom.bloom_filter(spark.createDataFrame([(int(i),) for i in x], "h long"), "h", 1 << 16), np.uint8)
+    packed = np.frombuffer(bloom.bloom_filter(spark.createDataFrame([(int(i),) for i in x], "h long"), "h"), np.uint8)
     assert bloom.passes(packed, x.view(np.uint64)).all()
     assert bloom.passes(packed, np.random.default_rng(1).integers(0, 2**62, 2000).view(np.uint64)).mean() < 0.05
 
