@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS, QUERIES = 4096, 1024
@@ -96,3 +96,32 @@ def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column) ->
     kind = df.schema[group].dataType.simpleString()
     parts = block_products(df, key, group, vector, query, closest, f"f1 {kind}, f2 {kind}, d double, p double")
     return parts.groupBy("f1", "f2").agg(F.round(F.least(F.lit(1.0), F.min("d")), 5).alias("distance"), F.round(F.greatest(F.lit(0.0), F.max("p")), 5).alias("inner_product"))
+
+
+def top_neighbours(df: DataFrame, key: str, group: str, vector: str, query: Column, k: int) -> DataFrame:
+    """``a`` (a query), ``rank`` (from 1), ``b``, ``similarity``, ``same_group``: the k most similar other rows; ties by key."""
+
+    def best(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> pd.DataFrame:
+        s = np.round(dots / (np.maximum(norms[0], 1e-8)[:, None] * np.maximum(norms[1], 1e-8)[None, :]), 9)
+        ka, kb, ga, gb = q["_k"].to_numpy(), r["_k"].to_numpy(), q["_g"].to_numpy(), r["_g"].to_numpy()
+        s[ka[:, None] == kb[None, :]] = -2
+        # rows are in order of key, so a stable sort keeps ties in that order
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        i = np.repeat(np.arange(len(ka)), top.shape[1])
+        j = top.ravel()
+        keep = s[i, j] > -2
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": ka[i], "b": kb[j], "similarity": s[i, j], "same_group": ga[i] == gb[j]})
+
+    kind = df.schema[key].dataType.simpleString()
+    found = block_products(df, key, group, vector, query, best, f"a {kind}, b {kind}, similarity double, same_group boolean")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("a", "rank", "b", "similarity", "same_group")
+
+
+def heatmap(linked: DataFrame, value: str, most: int = 200) -> DataFrame:
+    """The wide form of a linkage for drawing: a row per ``f2``, a column per ``f1``; of at most ``most`` functions."""
+    names = sorted(r[0] for r in linked.select("f1").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} functions cannot be drawn")
+    return linked.groupBy("f2").pivot("f1", names).agg(F.first(value)).orderBy("f2")

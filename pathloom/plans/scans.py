@@ -98,3 +98,32 @@ def paths_for_func(spark: SparkSession, d: str) -> DataFrame:
     """The first 12 paths of one function, as a display takes them."""
     r = records(spark, d, "cast(size(tokens) as bigint) AS n_tokens")
     return r.filter(F.col("func_addr") == r.agg(F.min("func_addr")).scalar()).orderBy("path_id").limit(12).select("path_id", "file", "n_tokens")
+
+
+_SHARDS = "SELECT DISTINCT trim(regexp_extract(file_name, '[^/]*$'), e' \\t\\n\\r') AS file FROM {t} WHERE file_name IS NOT NULL"
+
+
+@query(f"""WITH p AS ({_SHARDS.format(t='paths')}), t AS ({_SHARDS.format(t='traces')})
+SELECT CASE WHEN t.file IS NULL THEN 'pending' WHEN p.file IS NULL THEN 'unknown' ELSE 'finished' END AS status, count(*) AS shards FROM p FULL JOIN t ON p.file = t.file GROUP BY 1""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by what a resumed run makes of them."""
+
+    def shards(name: str, flag: str) -> DataFrame:
+        return table(spark, d, name).select(F.btrim(F.substring_index("file_name", "/", -1), F.lit(" \t\n\r")).alias("file")).filter("file IS NOT NULL").distinct().withColumn(flag, F.lit(True))
+
+    both = shards("paths", "p").join(shards("traces", "t"), "file", "full")
+    status = F.when(F.col("t").isNull(), "pending").when(F.col("p").isNull(), "unknown").otherwise("finished")
+    return both.groupBy(status.alias("status")).agg(F.count("*").alias("shards"))
+
+
+@query("SELECT record_id, label[1:28] AS shown, len(label) > 28 AS cut FROM binary_records WHERE label IS NOT NULL")
+def operand_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a panel shows them: the first 28 characters."""
+    return table(spark, d, "binary_records").filter("label IS NOT NULL").select("record_id", F.substring("label", 1, 28).alias("shown"), (F.length("label") > 28).alias("cut"))
+
+
+@query(f"""WITH {CORPUS} SELECT file, coalesce(func_addr, '?') AS func_addr, count(*) <= 8 AND max(len(tokens)) <= 16 AS annotated FROM corpus GROUP BY ALL""")
+def annotate_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a function is small enough for its cells to be labelled: at most 8 paths of at most 16 tokens."""
+    r = records(spark, d, "size(tokens) AS n")
+    return r.groupBy("file", F.coalesce("func_addr", F.lit("?")).alias("func_addr")).agg(((F.count("*") <= 8) & (F.max("n") <= 16)).alias("annotated"))

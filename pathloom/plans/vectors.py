@@ -137,3 +137,14 @@ def representative_func(spark: SparkSession, d: str) -> DataFrame:
     c = records(spark, d).filter("func_addr IS NOT NULL").groupBy("file", "func_addr").agg(F.count("*").alias("n"))
     best = c.groupBy("file").agg(F.min_by("func_addr", F.struct(-F.col("n"), "func_addr")).alias("most"), F.max(F.when(F.col("func_addr") == "0x401000", F.col("func_addr"))).alias("main"))
     return best.select("file", F.coalesce("main", "most").alias("func_addr"), F.col("main").isNotNull().alias("is_main"))
+
+
+@query(f"""{_PAIRS}, r AS (SELECT a, fa = fb AS same, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rank FROM p WHERE a <> b),
+f AS (SELECT a, min(rank) FILTER (WHERE same AND rank <= 10) AS first FROM r GROUP BY a)
+SELECT count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10 FROM f""")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How early a vector of the same function is found: mean reciprocal rank and hits within ten."""
+    top = S.top_neighbours(vectors(spark, d), "path_id", "func", "emb", _asked(), 10)
+    first = top.groupBy("a").agg(F.min(F.when(F.col("same_group"), F.col("rank"))).alias("first"))
+    hit = lambda n: F.round(F.avg(F.when(F.col("first") <= n, 1.0).otherwise(0.0)), 6)
+    return first.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), hit(1).alias("hit_at_1"), hit(10).alias("hit_at_10"))
