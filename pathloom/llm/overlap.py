@@ -44,6 +44,7 @@ from .arrow_tokens import batches, pack, token_batch, unpack
 PASSAGES = 600_000
 BAND = 1.25
 SLICE_TOKENS = 6_000_000
+EXPANDED = 4_000_000
 _BUCKETS = 64
 _held: dict[str, "Shard"] = {}
 
@@ -128,19 +129,20 @@ class Shard:
             text = as_text(values)
             passage[at : at + m] = [number.setdefault(text[x:y], len(number)) for x, y in zip(start[at : at + m].tolist(), stop[at : at + m].tolist(), strict=True)]
             at += m
-        order = np.argsort(passage, kind="stable")
+        # the places of a passage in order, so that those on about a diagonal are found by bisection
+        order = np.lexsort((start, passage))
         self.owner, self.start = each[order], start[order]
+        self.key = passage[order] << 32 | self.start
         self.length = np.zeros(len(number), np.int64)
         self.length[passage] = stop - start
-        self.first = np.searchsorted(passage[order], np.arange(len(number) + 1))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, k in number.items():
             self.automaton.add_word(p, k)
         if number:
             self.automaton.make_automaton()
 
-    def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, its place, evaluation text, its place) of all pieces found, by stretches of the texts."""
+    def matches(self, texts: list[np.ndarray], share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, its place, evaluation text, its place) of all pieces found near the diagonal, by stretches of whole texts."""
         if not len(self.length):
             return
         first = 0
@@ -150,15 +152,23 @@ class Shard:
                 size += len(texts[last]) + 1
                 last += 1
             part = texts[first:last]
-            begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in part])))
+            sizes = np.array([len(t) for t in part], np.int64)
+            begin = np.concatenate(([0], np.cumsum(sizes + 1)))
             found = np.fromiter((x for hit in self.automaton.iter("\x01".join(map(as_text, part))) for x in hit), np.int64).reshape(-1, 2)
             end, passage = found[:, 0], found[:, 1]
             text = np.searchsorted(begin, end, side="right") - 1
             place = end - self.length[passage] + 1 - begin[text]
-            n = self.first[passage + 1] - self.first[passage]
-            which = np.repeat(np.arange(len(end)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[passage], n)
-            yield text[which] + first, place[which], self.owner[k], self.start[k]
+            far = allowed(np.floor(sizes / (1 - share) + 1e-9), share)[text]
+            low = np.searchsorted(self.key, passage << 32 | np.maximum(place - far, 0))
+            n = np.searchsorted(self.key, passage << 32 | (place + far), side="right") - low
+            # a passage that many texts hold is expanded for a bounded stretch at a time
+            stretch = np.cumsum(np.bincount(text, n, len(part))) // EXPANDED
+            for x in np.unique(stretch):
+                of = stretch[text] == x
+                m, f = n[of], low[of]
+                which = np.repeat(np.flatnonzero(of), m)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(f, m)
+                yield text[which] + first, place[which], self.owner[k], self.start[k]
             first = last
 
 
@@ -176,7 +186,7 @@ def _shard(at: str, share: float) -> Shard | None:
 def covered_pairs(shard: Shard, texts: list[np.ndarray], counts: np.ndarray, share: float) -> Iterator[tuple[int, int, int, int]]:
     """(evaluation text, training text, distance, tokens covered by matched pieces)."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    for text, place, of, start in shard.matches(texts):
+    for text, place, of, start in shard.matches(texts, share):
         longer = np.maximum(sizes[text], shard.sizes[of])
         most = allowed(longer, share)
         keep = (np.abs(sizes[text] - shard.sizes[of]) <= most) & (np.abs(place - start) <= most)
