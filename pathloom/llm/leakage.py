@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .bloom import MOST_BITS, bloom_filter, passes
 from .rolling import winnow
+from .spread import spread
 
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
 SPANS = ((50, 26), (20, 10))
@@ -131,7 +132,7 @@ def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc
 
     base = docs.select(F.col(doc).alias("_doc"), F.col(doc_text).alias("_doc_text")).filter("_doc IS NOT NULL AND _doc_text IS NOT NULL")
     kind_of_doc = base.schema["_doc"].dataType.simpleString()
-    found = written(base.mapInArrow(doc_prints, f"_doc {kind_of_doc}, _doc_text string, _hits array<struct<x:int,p:int,v:long>>"), "doc-hits")
+    found = written(spread(base).mapInArrow(doc_prints, f"_doc {kind_of_doc}, _doc_text string, _hits array<struct<x:int,p:int,v:long>>"), "doc-hits")
     hits = found.select(F.xxhash64("_doc", "_doc_text").alias("_text_key"), F.explode("_hits").alias("_h"))
     hits = hits.select("_text_key", F.col("_h.x").alias("_kind"), F.col("_h.p").alias("_doc_at"), F.col("_h.v").alias("_hash")).distinct()
     pairs = hits.join(prints, ["_kind", "_hash"])

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .spread import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +59,7 @@ def token_sizes(df: DataFrame, item: str, text: str, tokenizer: str = TOKENIZER,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["_item", "_size"])
 
     base = df.select(F.col(item).alias("_item"), F.col(text).alias("_text"))
-    return base.mapInArrow(sized, f"_item {base.schema['_item'].dataType.simpleString()}, _size long")
+    return spread(base).mapInArrow(sized, f"_item {base.schema['_item'].dataType.simpleString()}, _size long")
 
 
 def harmonic_plan(counts: dict[int, int], capacity: int, cuts: tuple[int, ...] = CUTS) -> list[tuple[int, int, int, int, int]]:

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 BUCKETS = 1 << 16
 REACH = 256
 
@@ -366,4 +368,4 @@ def sentence_units(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(number), pa.array(flat[:, 0]), pa.array(flat[:, 1]), parts], names=["_doc", "sentence", "sent_start", "sent_end", "sentence_text"])
 
     kind = base.schema["_doc"].dataType.simpleString()
-    return base.mapInArrow(run, f"_doc {kind}, sentence int, sent_start long, sent_end long, sentence_text string").withColumnRenamed("_doc", doc)
+    return spread(base).mapInArrow(run, f"_doc {kind}, sentence int, sent_start long, sent_end long, sentence_text string").withColumnRenamed("_doc", doc)
