@@ -244,7 +244,7 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
 
     evals = texts.filter(~is_train).select("_name", "_packed", "_n").dropDuplicates(["_name"])
     reach = F.sequence(band(F.ceil(F.col("_n") * (1 - share))), band(F.floor(F.col("_n") / (1 - share)) + 1))
-    evals = written(evals.select("_name", "_packed", "_n", F.explode(reach).alias("band")), "eval-texts")
+    evals = written(evals, "eval-texts").select("_name", "_packed", "_n", F.explode(reach).alias("band"))
     pieces = F.floor(F.floor(F.col("_n") / (1 - share) + 1e-9) * share + 1e-9) + 1
     # one row per band of length: a few dozen
     shards = {r["band"]: max(1, -(-int(r["n"]) // passages)) for r in evals.groupBy("band").agg(F.sum(pieces).alias("n")).collect()}
@@ -284,10 +284,10 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
         for band in sorted(held):
             yield from through(band, *held[band])
 
-    # copies meet in one slice of their band, where the first of them stays
-    spread = trains.filter(F.col("_band").isin(*slices)).withColumn("_slice", of_band("_band", slices))
-    one = spread.groupBy("_band", "_slice", "_name").agg(F.first("_packed").alias("_packed"))
-    classes = one.repartition(sum(slices.values()), "_band", "_slice").select("_band", "_name", "_packed").mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
+    # one shuffle: copies meet in one slice of their band, where the first of them stays
+    dealt = trains.filter(F.col("_band").isin(*slices)).withColumn("_slice", of_band("_band", slices)).repartition(sum(slices.values()), "_band", "_slice")
+    one = dealt.groupBy("_band", "_slice", "_name").agg(F.first("_packed").alias("_packed"))
+    classes = one.select("_band", "_name", "_packed").mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
     return written(classes, "near-copies"), texts.select("_record", "_side", "_source", "_name")
 
 
