@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,21 @@ def get_session(app: str = "pathloom", cores: int | None = None, **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, so that none needs it on its own path."""
+    if spark.sparkContext.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        at = os.path.join(tempfile.mkdtemp(prefix="pathloom-"), "pathloom.zip")
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(here):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        spark.sparkContext.addPyFile(at)
+        _shipped.add(spark.sparkContext.applicationId)
