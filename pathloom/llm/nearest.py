@@ -11,8 +11,10 @@ Equal vectors (bit by bit) are one class before the search, so that copies,
 however many, fill no window; each member's list is then made of its own class
 and of the members of the classes found.
 
-Accuracy.  ``orderings`` x ``window`` fix the recall; README.md has figures
-against brute force.  Windows hold vectors at 12 bits a number, similarities
+Accuracy.  A window holds an ever smaller share of a growing table, so the
+number of orderings is not fixed: the exact neighbours of some sampled records
+are found by brute force, and orderings are added until the windows hold
+``recall`` of them.  README.md has figures against brute force.  Windows hold vectors at 12 bits a number, similarities
 are good to about 2e-4; pairs near a threshold are computed again from the stored
 vectors by ``exact_pairs``.
 
@@ -24,6 +26,7 @@ Defined cases
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from ..sources.shared import written
 
 SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 64, 12, 4
 BROADCAST_IDS = 1_000_000
+#: Records whose exact neighbours decide the number of orderings, and the number at which a warning ends the search for more.
+ASKED, MOST_ORDERINGS = 256, 256
 #: Cosines of packed vectors are closer than this to the true ones.
 SLACK = 0.001
 
@@ -70,19 +75,24 @@ class Orderings:
     """Projections, quantiles and shifts fitted on a sample of unit vectors."""
 
     def __init__(self, sample: np.ndarray, orderings: int, seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
+        self.rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.mean = sample.mean(0)
         _, basis = np.linalg.eigh((sample - self.mean).T @ (sample - self.mean))
-        basis = basis[:, ::-1][:, : min(SUBSPACE, dim)]
-        dims = min(DIMS, basis.shape[1])
+        self.basis = basis[:, ::-1][:, : min(SUBSPACE, dim)]
         self.project, self.edges, self.shift = [], [], []
         for _ in range(orderings):
-            turn, _ = np.linalg.qr(rng.normal(size=(basis.shape[1], basis.shape[1])))
-            p = (basis @ turn[:, :dims]).astype(np.float32)
-            self.project.append(p)
-            self.edges.append(np.quantile((sample - self.mean) @ p, np.linspace(0, 1, 257)[1:-1], axis=0))
-            self.shift.append(rng.random(dims))
+            self.add(sample)
+
+    def add(self, sample: np.ndarray) -> None:
+        """One ordering more."""
+        wide = self.basis.shape[1]
+        dims = min(DIMS, wide)
+        turn, _ = np.linalg.qr(self.rng.normal(size=(wide, wide)))
+        p = (self.basis @ turn[:, :dims]).astype(np.float32)
+        self.project.append(p)
+        self.edges.append(np.quantile((sample - self.mean) @ p, np.linspace(0, 1, 257)[1:-1], axis=0))
+        self.shift.append(self.rng.random(dims))
 
     def keys(self, vectors: np.ndarray, which: int) -> np.ndarray:
         z = (vectors - self.mean) @ self.project[which]
@@ -179,6 +189,49 @@ def _window_lists(keep: int, dim: int):  # noqa: ANN202
     return run
 
 
+def _true_pairs(df: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): asked vectors and each of their k nearest of all rows, by brute force; not those of the same direction."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, near = np.full((len(names), k), -4, np.float32), np.zeros((len(names), k, dim), np.float32)
+        for b in source:
+            rows, v = usable(b.column(1), dim)
+            v, ids = unit(v) if len(v) else v, b.column(0).take(pa.array(rows, pa.int64())).to_numpy()
+            for x in range(0, len(v), 2048):
+                part = v[x : x + 2048]
+                s = vectors @ part.T
+                s[(names[:, None] == ids[None, x : x + 2048]) | (s > 1 - 1e-5)] = -4
+                s = np.concatenate([best, s], 1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(s, top, 1)
+                old = np.take_along_axis(near, np.minimum(top, k - 1)[:, :, None], 1)
+                near = np.where((top < k)[:, :, None], old, part[np.maximum(top - k, 0)])
+        a, j = np.nonzero(best > -3)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(best[a, j]), pa.array(pack12(near[a, j]), pa.binary())], names=["_a", "_s", "_v"])
+
+    found = df.mapInArrow(run, "_a int, _s float, _v binary")
+    place = F.row_number().over(Window.partitionBy("_a").orderBy(F.col("_s").desc(), "_v"))
+    got = found.withColumn("_p", place).filter(F.col("_p") <= k).select("_a", "_v").collect()
+    if not got:
+        return np.zeros((0, dim), np.float32), np.zeros((0, dim), np.float32)
+    return vectors[[r[0] for r in got]], unpack12([bytes(r[1]) for r in got], dim)
+
+
+def enough_orderings(fitted: Orderings, sample: np.ndarray, a: np.ndarray, b: np.ndarray, windows: int, recall: float) -> int:
+    """How many orderings it takes until ``recall`` of the pairs a, b share one of ``windows`` windows; adds those that lack."""
+    met = np.zeros(len(a), bool)
+    for o in range(MOST_ORDERINGS):
+        if o == len(fitted.project):
+            fitted.add(sample)
+        order = np.sort(fitted.keys(sample, o))
+        met |= np.searchsorted(order, fitted.keys(a, o)) * windows // len(order) == np.searchsorted(order, fitted.keys(b, o)) * windows // len(order)
+        if met.mean() >= recall:
+            return o + 1
+    warnings.warn(f"{MOST_ORDERINGS} orderings find {met.mean():.3f} of the nearest vectors, not {recall}", stacklevel=2)
+    return MOST_ORDERINGS
+
+
 def _ids_joined(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Joins by id with a side that is sent to all tasks only if it is counted to be small."""
     if ids.count() <= BROADCAST_IDS:
@@ -186,8 +239,11 @@ def _ids_joined(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(ids, on, how)
 
 
-def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 4, window: int = 24576, seed: int = 7) -> DataFrame:
-    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 2e-4) for every usable row."""
+def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 4, window: int = 24576, seed: int = 7, recall: float = 0.95) -> DataFrame:
+    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 2e-4) for every usable row.
+
+    orderings: at least so many; more where a sample shows that it takes more for ``recall``.
+    """
     base = df.select(F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(F.col("_id").isNotNull() & (F.size("_v") == dim))
 
     def named(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +262,21 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
 
     def sampled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            _, v = usable(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([pa.array(pack12(unit(v)) if len(v) else [], pa.binary())], names=["_v"])
-
-    share = min(1.0, SAMPLE / max(1, n))
-    part = base.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).mapInArrow(sampled, "_v binary").limit(2 * SAMPLE)
-    taken = [bytes(r[0]) for r in part.collect()]
+            rows, v = usable(b.column(1), dim)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(pack12(unit(v)) if len(v) else [], pa.binary())], names=["_id", "_v"])
+
+    per_order = max(1, -(-n // window))
+    size = max(SAMPLE, 8 * per_order)
+    share = min(1.0, size / max(1, n))
+    part = base.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).mapInArrow(sampled, "_id long, _v binary").limit(2 * size)
+    drawn = sorted((r[0], bytes(r[1])) for r in part.collect())
+    taken = [v for _, v in drawn]
     sample = unpack12(taken, dim) if len(taken) > 1 else np.eye(2, dim, dtype=np.float32)
     fitted = Orderings(sample, orderings, seed)
+    if per_order > 1 and len(taken) > 1:
+        at = np.sort(np.random.default_rng(seed).permutation(len(taken))[:ASKED])
+        a, b = _true_pairs(alone, np.array([drawn[i][0] for i in at]), sample[at], k, dim)
+        orderings = max(orderings, enough_orderings(fitted, sample, a, b, per_order, recall)) if len(a) else orderings
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
@@ -226,7 +289,7 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
             for o in range(orderings):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), o), pa.int32()), pa.array(fitted.keys(v, o)), ids, packed], names=["_order", "_key", "_id", "_v"])
 
-    windows = orderings * max(1, -(-n // window))
+    windows = orderings * per_order
     keys = alone.mapInArrow(keyed, "_order int, _key long, _id long, _v binary").repartitionByRange(windows, "_order", "_key", "_id")
     lists = keys.select("_order", "_id", "_v").mapInArrow(_window_lists(k + 1, dim), "_id long, _d array<float>, _near array<long>")
     zipped = F.arrays_zip(F.flatten(F.collect_list("_d")).alias("d"), F.flatten(F.collect_list("_near")).alias("id"))

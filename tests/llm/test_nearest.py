@@ -67,6 +67,21 @@ def test_windows_find_most(spark):
     assert np.mean(hit) >= 0.9
 
 
+@pytest.mark.parametrize("window", [300, 75])
+def test_recall_does_not_fall_with_the_number_of_windows(spark, window):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {}
+    for r in nearest.neighbours(df, "id", "v", 5, 32, window=window).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([len(got[i] & set(np.argsort(-s[i])[:5].tolist())) / 5 for i in range(0, 3000, 20)]) >= 0.9
+
+
 def test_pairs_near_the_threshold_are_exact(spark, rows):
     want = {(min(i, n), max(i, n)) for i, near in brute(rows, 5).items() for n, s in near if s >= 0.9}
     got = nearest.similar_pairs(frame(spark, rows), "id", "v", 0.9, 5, dim=8, orderings=4, window=100_000)
