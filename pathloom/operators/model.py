@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Weights = dict[str, np.ndarray]
+#: Places that a product takes together, and a batch of results holds, unless one sequence is longer.
+PLACES = 8192
 
 
 def init_weights(vocab: int, emb: int = 128, hidden: int = 256, out: int = 256, predictor: int = 512, seed: int = 0) -> Weights:
@@ -84,19 +86,24 @@ def _apply(df: DataFrame, key: str, ids: str, weights: Weights, predict: bool) -
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             lists = [np.array([i or 0 for i in v or []], np.int64) for v in b.column(1).to_pylist()]
-            out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(lists)
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(lists):
                 by_length.setdefault(len(v), []).append(i)
             for n, rows in by_length.items():
-                for x in range(0, len(rows) if n else 0, 64):
-                    part = rows[x : x + 64]
-                    z = encode_batch(weights, np.stack([lists[i] for i in part]))
-                    if predict:
-                        z = predict_batch(weights, z[:, -1])
-                    for i, v in zip(part, z.reshape(len(part), -1), strict=True):
-                        out[i] = v / max(float(np.linalg.norm(v)), 1e-8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=[key, "emb"])
+                step = max(1, min(64, PLACES // max(1, n)))
+                for x in range(0, len(rows), step):
+                    part = rows[x : x + step]
+                    if n:
+                        z = encode_batch(weights, np.stack([lists[i] for i in part]))
+                        if predict:
+                            z = predict_batch(weights, z[:, -1])
+                        z = z.reshape(len(part), -1)
+                        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-8)
+                    else:
+                        z = np.zeros((len(part), 0), np.float32)
+                    starts = pa.array(np.arange(len(part) + 1) * z.shape[1], pa.int32())
+                    vectors = pa.ListArray.from_arrays(starts, pa.array(z.ravel().astype(np.float32, copy=False)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), vectors], names=[key, "emb"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, ids).mapInArrow(run, f"{key} {kind}, emb array<float>")

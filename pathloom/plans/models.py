@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm
 from ..operators import model as M
 from ..operators.training import train
+from ..operators.vocabulary import build_vocab, encode, token_freq
+from ..sources.shared import written
+from ..sources.views import corpus
 from .registry import query
-from .sequences import encoded
 
-VOCAB = 4096
+#: The most tokens of a path in training (the reference's limit_sequence_length).
+TRAINED = 500
 
 
-def _ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(spark, d).select("path_id", F.transform(F.slice("ids", 1, 64), lambda i: i % VOCAB).alias("ids"))
-
-
-def _weights() -> M.Weights:
-    return M.init_weights(VOCAB, emb=32, hidden=64, out=64, predictor=128)
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, M.Weights]:
+    """``path_id``, ``ids`` of whole paths, and weights for all ids at the reference's sizes."""
+    c = written(corpus(spark, d).select("path_id", "tokens"), "paths-to-encode")
+    v = build_vocab(token_freq(c))
+    size = v.agg(F.max("id")).first()[0] + 1
+    return encode(c, v).select("path_id", "ids"), M.init_weights(size)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -28,17 +31,20 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query()
 def encode_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors of every path of up to 64 tokens, in one list per path."""
-    return _shown(M.encode_paths(_ids(spark, d), "path_id", "ids", _weights()))
+    """The vectors of all tokens of every path, in one list per path."""
+    ids, weights = _model(spark, d)
+    return _shown(M.encode_paths(ids, "path_id", "ids", weights))
 
 
 @query()
 def predict_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(M.predict_paths(_ids(spark, d), "path_id", "ids", _weights()))
+    ids, weights = _model(spark, d)
+    return _shown(M.predict_paths(ids, "path_id", "ids", weights))
 
 
 @query()
 def train_log(spark: SparkSession, d: str) -> DataFrame:
     """Two epochs of training over all paths, as a log."""
-    *_, log = train(_ids(spark, d), "path_id", "ids", M.init_weights(VOCAB, emb=16, hidden=16, out=16, predictor=32), epochs=2, batch=64, rate=1e-3)
+    ids, weights = _model(spark, d)
+    *_, log = train(ids, "path_id", "ids", weights, epochs=2, batch=64, rate=1e-3, length=TRAINED)
     return spark.createDataFrame(log, "epoch int, loss double")
