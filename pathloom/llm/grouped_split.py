@@ -34,7 +34,7 @@ from .components import connected_components
 
 _BLANK = " \t\n\r\x0b\x0c"
 SPLITS = ("train", "validation", "test")
-HEAVY, BLOCK, STRATA = 2_000, 4_096, 32
+HEAVY, BLOCK = 2_000, 4_096
 
 
 def written_alike(name: Column) -> Column:
@@ -108,7 +108,7 @@ def _chain(goal: list[list[float]], shares: list[float], chains: int, steps: int
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block, chain = int(rows["_block"].iloc[0]), int(rows["_chain"].iloc[0])
         rows = rows.sort_values("group_key")
-        counts = np.zeros((len(rows), STRATA + 1))
+        counts = np.zeros((len(rows), len(goal[0])))
         counts[:, 0] = rows["_size"]
         for i, strata in enumerate(rows["_strata"]):
             for s in strata:
@@ -122,8 +122,8 @@ def _chain(goal: list[list[float]], shares: list[float], chains: int, steps: int
     return run
 
 
-def deal_groups(groups: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1), chains: int = 6, steps: int = 12_000, seed: int = 1) -> DataFrame:
-    """``group_key``, ``_split`` (a number) of every group.  groups: group_key, _size, _strata (list of _stratum, _n)."""
+def deal_groups(groups: DataFrame, strata: int, shares: tuple[float, ...] = (0.8, 0.1, 0.1), chains: int = 6, steps: int = 12_000, seed: int = 1) -> DataFrame:
+    """``group_key``, ``_split`` (a number) of every group.  groups: group_key, _size, _strata (list of _stratum, a number under ``strata``, and _n)."""
     total = groups.agg(F.sum("_size")).scalar()
     groups = groups.withColumn("_heavy", F.col("_size") * HEAVY >= total)
     light = groups.filter(~F.col("_heavy")).agg(F.count("*").alias("n"), F.sum("_size").alias("s")).first()
@@ -135,14 +135,14 @@ def deal_groups(groups: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1),
         best = found.groupBy("_block").agg(F.min_by(F.struct("_keys", "_splits"), F.struct("_cost", "_chain")).alias("_b"))
         return best.select(F.explode(F.arrays_zip("_b._keys", "_b._splits")).alias("_z")).select(F.col("_z._keys").alias("group_key"), F.col("_z._splits").alias("_split"))
 
-    even = np.tile(np.array(shares)[:, None], (1, STRATA + 1))
+    even = np.tile(np.array(shares)[:, None], (1, strata + 1))
     heavy = written(search(groups.filter("_heavy").withColumn("_block", F.lit(0)), even), "split-heavy")
     if not light["n"]:
         return heavy
     # what the large groups left open, per split and stratum: a fixed number of sums
     goal = even.copy()
     sums = groups.join(heavy, "group_key", "left").select(F.coalesce("_split", F.lit(-1)).alias("_split"), F.explode(F.array_append("_strata", F.struct(F.lit(-1).alias("_stratum"), F.col("_size").alias("_n")))).alias("_t"))
-    have = np.zeros((len(shares) + 1, STRATA + 1))
+    have = np.zeros((len(shares) + 1, strata + 1))
     for r in sums.groupBy("_split", "_t._stratum").agg(F.sum("_t._n").alias("n")).collect():
         have[r["_split"], r["_stratum"] + 1] = r["n"]
     rest = have[-1]
@@ -152,9 +152,18 @@ def deal_groups(groups: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1),
     return heavy.union(search(spread, goal))
 
 
+def numbered_strata(base: DataFrame) -> tuple[list[str | None], DataFrame]:
+    """The distinct ``_spelled`` in order, null first, and a frame of ``_of`` and its number ``_stratum``."""
+    known = sorted((r[0] for r in base.select("_spelled").distinct().collect()), key=lambda x: (x is not None, x or ""))
+    return known, base.sparkSession.createDataFrame([(x, i) for i, x in enumerate(known)], "_of string, _stratum int")
+
+
 def grouped_split(df: DataFrame, links: DataFrame, record: str, name: Column, stratum: Column, link_a: Column, link_b: Column, shares: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 1) -> DataFrame:
     """``record``, ``group_key``, ``split`` of every row.  link_a, link_b: the names of a link, in the spelling of ``name``."""
-    base = df.select(F.col(record).alias("_record"), name.alias("_name"), F.pmod(F.xxhash64(stratum), F.lit(STRATA)).cast("int").alias("_stratum"))
+    base = df.select(F.col(record).alias("_record"), name.alias("_name"), stratum.cast("string").alias("_spelled"))
+    known, numbers = numbered_strata(base)
+    # a left join with a few rows; the null stratum has a number too
+    base = base.join(F.broadcast(numbers), F.col("_spelled").eqNullSafe(F.col("_of")), "left").select("_record", "_name", "_stratum")
     origin = connected_components(links.select(link_a.alias("_a"), link_b.alias("_b")), "_a", "_b")
     # names first: one row per name and stratum, so that no hot name is joined row by row
     named = base.filter(F.col("_name").isNotNull()).groupBy("_name", "_stratum").agg(F.count("*").alias("_n"))
@@ -162,7 +171,7 @@ def grouped_split(df: DataFrame, links: DataFrame, record: str, name: Column, st
     named = written(named, "names")
     strata = named.groupBy("group_key", "_stratum").agg(F.sum("_n").alias("_n"))
     groups = written(strata.groupBy("group_key").agg(F.sum("_n").alias("_size"), F.collect_list(F.struct("_stratum", "_n")).alias("_strata")), "groups")
-    dealt = deal_groups(groups, shares, seed=seed)
+    dealt = deal_groups(groups, len(known), shares, seed=seed)
     of_name = written(named.select("_name", "group_key").distinct().join(dealt, "group_key"), "split-names")
     drawn = F.pmod(F.xxhash64(F.col("_record").cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1e6
     hashed = F.when(F.lit(True), F.lit(len(shares) - 1))

@@ -111,3 +111,11 @@ def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|> ok"), (5, "a" * 30_000)], "id long, text string")
     got = {r._item: r._size for r in packing.token_sizes(df, "id", "text").collect()}
     assert got[2] == 0 and got[3] is None and 1 <= got[1] <= 4 and got[4] > 3 and got[5] > 1000
+
+
+def test_every_stratum_has_a_number_of_its_own(spark):
+    spelled = [f"{c}/{o}" for c in ("gcc", "clang", "cc", "?") for o in ("o0", "o1", "o2", "o3", "os", "?")] + [None]
+    df = spark.createDataFrame([(x,) for x in spelled * 2], "_spelled string")
+    known, numbers = grouped_split.numbered_strata(df)
+    assert set(known) == set(spelled) and len(known) == 25
+    assert sorted(r._stratum for r in numbers.collect()) == list(range(25))
