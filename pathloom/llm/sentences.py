@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from .spread import spread
 
 BUCKETS = 1 << 16
-REACH = 256
 
 # Abbreviations by what may follow them, lower case, without the last period.
 NEVER = frozenset(
@@ -328,7 +327,7 @@ def sentences(text: str, words: Lexicon) -> list[tuple[int, int]]:
         firsts = [len(line[:c]) + len(line[c:]) - len(line[c:].lstrip()) for c in cuts]
         best, back = [0.0] + [-math.inf] * (len(cuts) - 1), [0] * len(cuts)
         for j in range(1, len(cuts)):
-            for i in range(max(0, j - REACH), j):
+            for i in range(j):
                 s = best[i] + score[j] - 9.0 * crossed[j]
                 if quote[j] >= 0 and quote[j] > firsts[i]:
                     s -= 9.0

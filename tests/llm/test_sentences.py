@@ -79,3 +79,8 @@ def test_operator(spark):
     got = sorted(((r.id or 0), r.sentence, r.sent_start, r.sent_end, r.sentence_text) for r in S.sentence_units(df, "id", "text").collect())
     assert got == sorted([(1, 1, 1, 4, "One."), (1, 2, 6, 9, "Two.")] * 2 + [(0, 1, 1, 6, "Three.")])
     assert S.sentence_units(df.limit(0), "id", "text").count() == 0
+
+
+def test_a_sentence_may_hold_many_inner_marks(words):
+    text = "The list (" + ", ".join(f"no. {i}.5 mm" for i in range(400)) + ") is long. It ends."
+    assert parts(text, words) == [text[:-9], "It ends."]
