@@ -22,12 +22,15 @@ def bos_eos(ids: Column, bos: int, eos: int, length: int) -> Column:
 
 
 def real_length(ids: Column) -> Column:
-    return F.size(F.filter(ids, lambda x: x != PAD))
+    return F.size(F.array_remove(ids, PAD))
 
 
 def _span(ids: Column, first: Column, last: Column) -> Column:
     """True from ``first`` to before ``last``, else false; as long as ids."""
-    return F.transform(ids, lambda _, i: (i >= first) & (i < last))
+    n = F.size(ids)
+    first = F.least(F.greatest(first.cast("int"), F.lit(0)), n)
+    last = F.greatest(F.least(last.cast("int"), n), first)
+    return F.concat(F.array_repeat(F.lit(False), first), F.array_repeat(F.lit(True), last - first), F.array_repeat(F.lit(False), n - last))
 
 
 def thirds_mask(ids: Column) -> tuple[Column, Column]:
@@ -44,8 +47,7 @@ def random_token_mask(ids: Column, key: Column, seed: int = 0) -> tuple[Column,
     """One real place, drawn by the hash of key and seed; none in an array of padding."""
     n = real_length(ids)
     at = F.when(n > 0, F.pmod(F.xxhash64(key, F.lit(seed)), n.cast("long")))
-    one = F.coalesce(F.transform(ids, lambda _, i: i == at), F.array().cast("array<boolean>"))
-    one = F.transform(one, lambda x: F.coalesce(x, F.lit(False)))
+    one = F.when(n > 0, _span(ids, at, at + 1)).otherwise(F.array_repeat(F.lit(False), F.greatest(F.size(ids), F.lit(0))))
     return one, one
 
 
@@ -84,4 +86,4 @@ def overflow(tokens: Column, most: int) -> Column:
 
 def joined(values: Column) -> Column:
     """An array as text, for display and comparison."""
-    return F.array_join(F.transform(values, lambda x: x.cast("string")), " ")
+    return F.array_join(values.cast("array<string>"), " ")

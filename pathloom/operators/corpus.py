@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +41,7 @@ def entropy(freq: DataFrame, count: str = "freq") -> DataFrame:
     return freq.agg(F.round(bits, 6).alias("entropy"), F.round(most, 6).alias("max_entropy"), F.round(F.when(most > 0, bits / most * 100), 6).alias("utilisation"))
 
 
-def nearest_rank(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, percents: tuple[int, ...], kind: str = "long") -> DataFrame:
     """``p``, ``value``: the value at place int(p/100*(n-1)) of all, in order.
 
     Values are counted first, so the running sum goes over distinct values only.
@@ -47,7 +52,7 @@ def nearest_rank(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFr
     marks = F.array(*(F.struct(F.lit(p).alias("p"), F.floor(F.lit(p) / F.lit(100.0) * (F.col("_n") - 1)).alias("i")) for p in percents))
     ranged = counts.select("_v", "_c", upto.alias("_upto"), total.alias("_n")).withColumn("_m", F.explode(marks))
     hit = (F.col("_m.i") < F.col("_upto")) & (F.col("_m.i") >= F.col("_upto") - F.col("_c"))
-    return ranged.filter(hit).select(F.col("_m.p").alias("p"), F.col("_v").cast("long").alias("value"))
+    return ranged.filter(hit).select(F.col("_m.p").alias("p"), F.col("_v").cast(kind).alias("value"))
 
 
 def diversity(df: DataFrame) -> DataFrame:
@@ -56,14 +61,36 @@ def diversity(df: DataFrame) -> DataFrame:
     return g.withColumn("ratio", F.round(F.col("unique_paths") / F.col("paths"), 6))
 
 
-def ranked_share(freq: DataFrame) -> DataFrame:
-    """Adds ``rank`` (by falling frequency, then token) and ``share``; freq has one row per distinct token."""
-    rank = F.row_number().over(Window.orderBy(F.col("freq").desc(), F.col("token")))
-    return freq.select("token", "freq", rank.alias("rank"), (F.col("freq") / F.sum("freq").over(Window.partitionBy())).alias("share"))
+def percentiles(df: DataFrame, value: str, named: dict[str, int], kind: str = "long") -> DataFrame:
+    """One row: the places ``named`` in percent, by name."""
+    p = nearest_rank(df, value, tuple(sorted(set(named.values()))), kind)
+    return p.agg(*(F.max(F.when(F.col("p") == at, F.col("value"))).alias(name) for name, at in named.items()))
+
+
+def shares(freq: DataFrame, tops: tuple[int, ...], count: str = "freq") -> DataFrame:
+    """``top``, ``share`` (percent) of the most frequent tokens together; only the most frequent are sorted."""
+    most = freq.orderBy(F.col(count).desc(), "token").limit(max(tops)).select(F.collect_list(count).alias("_l"))
+    one = most.select(F.sort_array("_l", False).alias("_l"), F.explode(F.array(*map(F.lit, tops))).alias("top"))
+    summed = F.aggregate(F.slice("_l", 1, F.col("top")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return one.select("top", F.round(summed / freq.agg(F.sum(count)).scalar() * 100, 6).alias("share"))
 
 
 def path_entropy(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Entropy of the elements of every path; df is partitioned by key, which saves a shuffle."""
-    counts = df.select(key, F.explode(tokens).alias("_t")).groupBy(key, "_t").agg(F.count("*").cast("double").alias("_c"))
-    n, s = F.sum("_c"), F.sum(F.col("_c") * F.log2("_c"))
-    return counts.groupBy(key).agg(F.round(F.abs(F.log2(n) - s / n), 6).alias("entropy"), n.cast("long").alias("n"))
+    """``key``, ``entropy`` (bits), ``n`` of the elements of every array that has any; nothing is shuffled.
+
+    Nulls are elements of one kind.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            column = b.column(1)
+            size = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+            coded = column.flatten().dictionary_encode(null_encoding="encode")
+            k = max(1, len(coded.dictionary))
+            at, count = np.unique(np.repeat(np.arange(len(size)), size) * k + np.asarray(coded.indices).astype(np.int64), return_counts=True)
+            total = np.bincount(at // k, count * np.log2(count), len(size))
+            rows = np.flatnonzero(size)
+            bits = np.abs(np.log2(size[rows]) - total[rows] / size[rows])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.round(bits, 6)), pa.array(size[rows])], names=[key, "entropy", "n"])
+
+    return df.select(key, tokens).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, entropy double, n long")

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .sequences import numbered
+
 SPECIALS = ("<PAD>", "<UNK>", "<MASK>")
 MOST_SENT = 1_000_000
 
@@ -20,13 +23,36 @@ def token_freq(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return t.groupBy("token").agg(F.count("*").alias("freq"))
 
 
-def build_vocab(freq: DataFrame, min_freq: int = 2, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", most_sorted: int = MOST_SENT) -> DataFrame:
+    """Adds the place of each row in ``order``, from 1.
+
+    The rows are stored and counted: up to ``most_sorted`` are sorted in one task,
+    more by ranges.
+    """
+    df = written(df, "to-rank")
+    if df.count() <= most_sorted:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(df, order, name).withColumn(name, F.col(name) + 1)
+
+
+def build_vocab(freq: DataFrame, min_freq: int = 2, specials: tuple[str, ...] = SPECIALS, most_sorted: int = MOST_SENT) -> DataFrame:
     """``token``, ``id``, ``freq``: the specials, then tokens of at least ``min_freq`` by falling frequency, ties by token."""
-    ranked = freq.filter((F.col("freq") >= min_freq) & ~F.col("token").isin(*specials))
-    rank = F.row_number().over(Window.orderBy(F.col("freq").desc(), F.col("token")))
-    ranked = ranked.select("token", (rank + len(specials) - 1).cast("int").alias("id"), "freq")
+    kept = freq.filter((F.col("freq") >= min_freq) & ~F.col("token").isin(*specials)).select("token", "freq")
+    kept = ranked(kept, [F.col("freq").desc(), F.col("token")], "_rank", most_sorted)
+    kept = kept.select("token", (F.col("_rank") + len(specials) - 1).cast("int").alias("id"), "freq")
     fixed = freq.sparkSession.createDataFrame([(s, i, 0) for i, s in enumerate(specials)], "token string, id int, freq long")
-    return fixed.unionByName(ranked)
+    return fixed.unionByName(kept)
+
+
+def _joined(df: DataFrame, elements: str, names: DataFrame, otherwise: Column, out: str, kind: str) -> DataFrame:
+    """Adds ``out``: for each element of an array what ``names`` (_e, _to) has for it, by a join.
+
+    The rows are stored with their numbers, so that both uses see the same ones.
+    """
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    flat = rows.select("_row", F.posexplode(elements).alias("_pos", "_e")).join(names, "_e", "left")
+    lists = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_to", otherwise).alias("to")))), lambda e: e["to"]).alias(out))
+    return rows.join(lists, "_row", "left").drop("_row").withColumn(out, F.coalesce(out, F.array().cast(kind)))
 
 
 def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", unk: int = 1, most_sent: int = MOST_SENT) -> DataFrame:
@@ -37,11 +63,7 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", unk: int = 1
     """
     sent = vocab.select("token", "id").limit(most_sent + 1).collect()
     if len(sent) > most_sent:
-        key = F.monotonically_increasing_id()
-        rows = df.withColumn("_row", key)
-        flat = rows.select("_row", F.posexplode(tokens).alias("_pos", "_token")).join(vocab.select(F.col("token").alias("_token"), "id"), "_token", "left")
-        ids = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id")))), lambda e: e["id"]).alias("ids"))
-        return rows.join(ids, "_row", "left").drop("_row").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+        return _joined(df, tokens, vocab.select(F.col("token").alias("_e"), F.col("id").alias("_to")), F.lit(unk), "ids", "array<int>")
     known = {r["token"]: r["id"] for r in sent}
     at = df.columns.index(tokens)
 
@@ -58,14 +80,11 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", unk: int = 1
     return df.mapInArrow(run, df.withColumn("ids", F.array().cast("array<int>")).schema)
 
 
-def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the tokens of ids, by a map of the vocabulary if it has at most a million terms, joined otherwise."""
-    sent = vocab.select("token", "id").limit(MOST_SENT + 1).collect()
-    if len(sent) > MOST_SENT:
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
-        flat = rows.select("_row", F.posexplode(ids).alias("_pos", "_id")).join(vocab.select(F.col("id").alias("_id"), "token"), "_id", "left")
-        words = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit("<UNK>")).alias("t")))), lambda e: e["t"]).alias("decoded"))
-        return rows.join(words, "_row", "left").drop("_row").withColumn("decoded", F.coalesce("decoded", F.array().cast("array<string>")))
+def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", most_sent: int = MOST_SENT) -> DataFrame:
+    """Adds ``decoded``: the tokens of ids, by a map of the vocabulary if it has at most ``most_sent`` terms, joined otherwise."""
+    sent = vocab.select("token", "id").limit(most_sent + 1).collect()
+    if len(sent) > most_sent:
+        return _joined(df, ids, vocab.select(F.col("id").alias("_e"), F.col("token").alias("_to")), F.lit("<UNK>"), "decoded", "array<string>")
     names = {r["id"]: r["token"] for r in sent}
     at = df.columns.index(ids)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators.corpus import path_entropy
-from ..operators.sequences import banded_join, trim_common_prefix
+from ..operators.sequences import banded_comparison, banded_join, trim_common_prefix, unlikeness
 from ..operators.vocabulary import build_vocab, decode as decode_ids, encode as encode_tokens, token_freq
 from ..sources.tables import table
-from ..sources.views import corpus
+from ..sources.views import corpus, records
 from .registry import query
 from .views_sql import CORPUS, IDS, PADDED
 
@@ -23,8 +25,13 @@ def encoded(spark: SparkSession, d: str) -> DataFrame:
     return encode_tokens(c, build_vocab(token_freq(c)))
 
 
+#: The most ids of a padded path; fewer if no path is as long.
+LIMIT = 500
+
+
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(spark, d).select("path_id", A.pad_truncate(F.col("ids"), 64).alias("ids"))
+    longest = table(spark, d, "paths").agg(F.greatest(F.least(F.max(F.size("tokens")), F.lit(LIMIT)), F.lit(0))).first()[0] or 0
+    return encoded(spark, d).select("path_id", A.pad_truncate(F.col("ids"), longest).alias("ids"))
 
 
 @query(f"WITH {IDS} SELECT path_id, {_TEXT.format(x='ids')} AS ids FROM enc")
@@ -62,20 +69,20 @@ def real_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mask_sql(first: str, last: str) -> str:
-    return f"array_to_string(list_transform(range(64), lambda i: CASE WHEN i >= {first} AND i < {last} THEN 1 ELSE 0 END), '')"
+    return f"array_to_string(list_transform(range(w), lambda i: CASE WHEN i >= {first} AND i < {last} THEN 1 ELSE 0 END), '')"
 
 
-def _bits(mask: object) -> object:
-    return F.array_join(F.transform(mask, lambda m: m.cast("int").cast("string")), "")
+def _bits(mask: Column) -> Column:
+    return F.array_join(mask.cast("array<int>").cast("array<string>"), "")
 
 
-@query(f"WITH {PADDED}, n AS (SELECT path_id, {_REAL} AS n FROM padded) SELECT path_id, {_mask_sql('n // 3', 'n')} AS input, {_mask_sql('2 * n // 3', 'n')} AS prediction FROM n")
+@query(f"WITH {PADDED}, n AS (SELECT path_id, w, {_REAL} AS n FROM padded) SELECT path_id, {_mask_sql('n // 3', 'n')} AS input, {_mask_sql('2 * n // 3', 'n')} AS prediction FROM n")
 def mask_thirds(spark: SparkSession, d: str) -> DataFrame:
     i, p = A.thirds_mask(F.col("ids"))
     return padded(spark, d).select("path_id", _bits(i).alias("input"), _bits(p).alias("prediction"))
 
 
-@query(f"WITH {PADDED}, n AS (SELECT path_id, {_REAL} AS n FROM padded) SELECT path_id, {_mask_sql('2 * n // 3', 'n')} AS input, {_mask_sql('n - 1', 'n')} AS prediction FROM n")
+@query(f"WITH {PADDED}, n AS (SELECT path_id, w, {_REAL} AS n FROM padded) SELECT path_id, {_mask_sql('2 * n // 3', 'n')} AS input, {_mask_sql('n - 1', 'n')} AS prediction FROM n")
 def mask_last(spark: SparkSession, d: str) -> DataFrame:
     i, p = A.last_token_mask(F.col("ids"))
     return padded(spark, d).select("path_id", _bits(i).alias("input"), _bits(p).alias("prediction"))
@@ -99,9 +106,9 @@ def apply_mask(spark: SparkSession, d: str) -> DataFrame:
     return padded(spark, d).select("path_id", A.joined(A.apply_mask(F.col("ids"), i)).alias("ids"))
 
 
-@query(f"WITH {IDS} SELECT path_id, {_TEXT.format(x='list_append(ids[1:16], 2)')} AS ids FROM enc")
+@query(f"WITH {IDS} SELECT path_id, {_TEXT.format(x='list_append(ids, 2)')} AS ids FROM enc")
 def append_mask(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(spark, d).select("path_id", A.joined(F.array_append(F.slice("ids", 1, 16), A.MASK)).alias("ids"))
+    return encoded(spark, d).select("path_id", A.joined(F.array_append("ids", A.MASK)).alias("ids"))
 
 
 @query(f"WITH {PADDED}, s AS (SELECT unnest(ids) AS x FROM padded) SELECT coalesce(min(x) FILTER (WHERE x <> 0), 0) AS low, CASE WHEN max(x) FILTER (WHERE x <> 0) IS NULL THEN 1 WHEN min(x) FILTER (WHERE x <> 0) = max(x) FILTER (WHERE x <> 0) THEN max(x) FILTER (WHERE x <> 0) + 1 ELSE max(x) FILTER (WHERE x <> 0) END AS high FROM s")
@@ -173,22 +180,28 @@ b AS (SELECT a.path_id AS a, c.path_id AS b, a.ids AS x, c.ids AS y FROM o a JOI
 u AS (SELECT a, b, list_sum(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: CASE WHEN x[i] IS DISTINCT FROM y[i] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / greatest(len(x), len(y)) AS u FROM b)"""
 
 
-def _band(spark: SparkSession, d: str) -> DataFrame:
-    return banded_join(encoded(spark, d).filter("size(ids) > 0").select("path_id", "ids"), "path_id", 10)
-
-
 @query(f"{_BAND} SELECT a, b FROM u")
 def banded_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each path with itself and the nine after it."""
-    return _band(spark, d).select("a", "b")
+    full = records(spark, d, "size(tokens) AS n").filter("n > 0 AND path_id IS NOT NULL").select("path_id")
+    return banded_join(full, "path_id", 10)
+
+
+def is_selected(u: np.ndarray) -> np.ndarray:
+    """Pairs that are alike without being equal, or hardly alike."""
+    return ((u > 0) & (u < 0.40)) | (u >= 0.90)
 
 
 @query(f"{_BAND} SELECT a, b, round(u, 6) AS unlikeness FROM u WHERE (u > 0 AND u < 0.40) OR u >= 0.90")
 def unlike_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours that are alike without being equal, or hardly alike."""
-    u = F.col("u")
-    pairs = _band(spark, d).withColumn("u", A.unlikeness(F.col("ids_a"), F.col("ids_b")))
-    return pairs.filter(((u > 0) & (u < 0.40)) | (u >= 0.90)).select("a", "b", F.round("u", 6).alias("unlikeness"))
+
+    def compare(keys: np.ndarray, values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        u = unlikeness(values, starts, a, b)
+        keep = is_selected(u)
+        return pa.RecordBatch.from_arrays([pa.array(keys[a[keep]]), pa.array(keys[b[keep]]), pa.array(np.round(u[keep], 6))], names=["a", "b", "unlikeness"])
+
+    return banded_comparison(encoded(spark, d).filter("size(ids) > 0 AND path_id IS NOT NULL"), "path_id", "ids", 10, compare, "a long, b long, unlikeness double")
 
 
 @query("""SELECT l_orderkey, count(*) AS n, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS tokens FROM lineitem GROUP BY l_orderkey""")

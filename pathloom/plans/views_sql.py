@@ -18,7 +18,10 @@ IDS = VOCAB + """, enc AS (
   SELECT c.path_id, c.file, c.func_addr, c.tokens, coalesce(e.ids, []) AS ids FROM corpus c LEFT JOIN (
     SELECT t.path_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM tok t LEFT JOIN voc v ON t.token = v.token GROUP BY t.path_id) e ON c.path_id = e.path_id)"""
 
-PADDED = IDS + """, padded AS (SELECT path_id, list_resize(ids[1:64], 64, 0) AS ids FROM enc)"""
+#: The width of padded ids: that of the longest path, 500 at most.
+WIDTH = "(SELECT CAST(least(coalesce(max(len(ids)), 0), 500) AS BIGINT) FROM enc)"
+
+PADDED = IDS + f""", padded AS (SELECT path_id, list_resize(ids[1:w], w, 0) AS ids, w FROM enc, (SELECT {WIDTH} AS w))"""
 
 GRAPH = """edges AS (
   SELECT DISTINCT func, src, dst FROM (SELECT user_id AS func, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)

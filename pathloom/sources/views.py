@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .once import once
 from .tables import table
 
 _BLANK = " \t\n\r"
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Path records, once per id: path_id, file (shard), func_addr (0x.. or null), tokens (never null)."""
+    """Path records, once per id: path_id, file (shard), func_addr (0x.. or null), tokens (never null).
+
+    Ids that were delivered again are found first, so that no token array is shuffled.
+    """
     digits = F.ltrim(F.regexp_replace(F.lower(F.btrim("func_addr", F.lit(_BLANK))), "^0x", ""), F.lit("0"))
-    return (
-        table(spark, d, "paths")
-        .select(
-            "path_id",
-            F.btrim(F.substring_index("file_name", "/", -1), F.lit(_BLANK)).alias("file"),
-            F.concat(F.lit("0x"), digits).alias("func_addr"),
-            F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
-        )
-        .dropDuplicates(["path_id"])
+    return once(table(spark, d, "paths"), "path_id").select(
+        "path_id",
+        F.btrim(F.substring_index("file_name", "/", -1), F.lit(_BLANK)).alias("file"),
+        F.concat(F.lit("0x"), digits).alias("func_addr"),
+        F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
     )
 
 

@@ -1,10 +1,14 @@
 """Operators of the core on small fixtures."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import corpus, graph, model, sequences, series, similarity, vocabulary
+from pathloom.sources.once import once
 from pathloom.sources.shared import written
 
 
@@ -125,3 +129,44 @@ def test_models_handle_empty_sequences(spark):
 def test_shared_tables(spark):
     df = written(spark.range(5), "numbers")
     assert df.count() == 5 and df.columns == ["id"]
+
+
+def test_once_keeps_one_row_of_every_key(spark, tmp_path):
+    rows = [(1, "a"), (2, "b"), (1, "a"), (None, "c"), (None, "c"), (3, None), (2, "b"), (2, "b")]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(3)
+    df.write.parquet(str(tmp_path / "t"))
+    for frame in (df, spark.read.parquet(str(tmp_path / "t"))):
+        for bound in (0, 10):
+            got = sorted((tuple(r) for r in once(frame, "k", most_sent=bound).collect()), key=repr)
+            assert got == sorted([(1, "a"), (2, "b"), (3, None), (None, "c")], key=repr)
+            assert once(frame, "k", nulls=False, most_sent=bound).filter("k IS NULL").count() == 2
+    assert once(df.limit(0), "k").count() == 0
+
+
+def test_large_vocabularies_are_joined(spark):
+    rng = random.Random(0)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(5, "k")
+    small = vocabulary.build_vocab(vocabulary.token_freq(df))
+    large = vocabulary.build_vocab(vocabulary.token_freq(df), most_sorted=2)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    known = {r.token: r.id for r in small.collect()}
+    joined = vocabulary.encode(df, small, most_sent=3)
+    assert {r.k: list(r.ids) for r in joined.collect()} == {k: [known[t] for t in v] for k, v in rows}
+    back = vocabulary.decode(joined, small, most_sent=3)
+    assert {r.k: list(r.decoded) for r in back.collect()} == dict(rows)
+
+
+def test_bands_reach_over_ranges(spark):
+    keys = [2, 3, 5, 8, 13, 21, 34, 55, 56, 57, 100, 101]
+    df = spark.createDataFrame([(k, [k, k % 3]) for k in keys], "k long, ids array<int>")
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i : i + 4]}
+    for parts in (1, 3, 12):
+        assert {(r.a, r.b) for r in sequences.banded_join(df, "k", 4, parts).collect()} == want
+
+        def compare(k, values, starts, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(k[b]), pa.array(sequences.unlikeness(values, starts, a, b))], names=["a", "b", "u"])
+
+        got = sequences.banded_comparison(df, "k", "ids", 4, compare, "a long, b long, u double", parts).collect()
+        assert len(got) == len(want)
+        assert {(r.a, r.b): r.u for r in got} == {(a, b): ((a != b) + (a % 3 != b % 3)) / 2 for a, b in want}

@@ -44,9 +44,27 @@ def test_no_query_multiplies_its_tables(spark, sf):
             assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
-def test_entropy_reuses_the_partitioning_of_the_ids(spark, sf):
-    text = plan(catalog.queries()["entropy_per_path"](spark, sf))
-    assert text.count("Exchange hashpartitioning") == 1
+def shuffled(df):
+    """Names of the columns that shuffles carry."""
+    out, todo = set(), [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.initialPlan()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            out |= {node.output().apply(i).name() for i in range(node.output().size())}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_entropy_shuffles_nothing(spark, sf):
+    assert not shuffled(catalog.queries()["entropy_per_path"](spark, sf))
+
+
+def test_no_token_array_is_shuffled(spark, sf):
+    assert "token" in shuffled(catalog.queries()["token_freq"](spark, sf))
+    for name in ("token_freq", "vocab", "corpus_report", "encode", "pad_truncate", "mask_thirds", "entropy_band", "topn_share"):
+        assert not shuffled(catalog.queries()[name](spark, sf)) & {"tokens", "ids"}, name
 
 
 def test_heatmap(spark):
