@@ -1,4 +1,4 @@
-"""Comparison of vectors in blocks: a stated set of queries against all rows.
+"""Comparison of vectors in blocks: a stated set of queries, or all rows, against all rows.
 
 Rows go to blocks of fixed size by hash, queries to every block, and each block
 is one matrix product whose results are reduced before they leave the task.
@@ -14,25 +14,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 ROWS, QUERIES = 4096, 1024
 
 
-def block_products(df: DataFrame, key: str, group: str, vector: str, query: Column, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+def block_products(df: DataFrame, key: str, group: str, vector: str, query: Column, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """``reduce(queries, rows, dots, norms)`` of every pair of blocks.
 
     queries, rows: frames of _k and _g; dots: their inner products, shorter
-    vectors filled with zeros; norms: a list of the two sides' lengths.
+    vectors filled with zeros; norms: a list of the two sides' lengths; extra: columns
+    that the queries bring along.
     """
-    base = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(vector).cast("array<double>").alias("_v"), query.alias("_q")).filter("_v IS NOT NULL AND _k IS NOT NULL")
+    base = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(vector).cast("array<float>").alias("_v"), query.alias("_q"), *extra).filter("_v IS NOT NULL AND _k IS NOT NULL")
     n = base.agg(F.count("*").alias("n"), F.count_if("_q").alias("q")).first()
     rows_in, queries_in = max(1, -(-n["n"] // ROWS)), max(1, -(-n["q"] // QUERIES))
     rows = base.select("_k", "_g", "_v", F.pmod(F.xxhash64("_k"), F.lit(rows_in)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("_c"))
-    asked = base.filter("_q").select(F.col("_k").alias("_ka"), F.col("_g").alias("_ga"), F.col("_v").alias("_va"), F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1)).cast("array<bigint>")).alias("_ba"), F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(queries_in)).cast("int").alias("_ca"))
+    asked = base.filter("_q").select(F.col("_k").alias("_ka"), F.col("_g").alias("_ga"), F.col("_v").alias("_va"), F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1)).cast("array<bigint>")).alias("_ba"), F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(queries_in)).cast("int").alias("_ca"), *extra)
 
     def matrix(values: pd.Series, width: int) -> np.ndarray:
+        size = np.array([len(v) for v in values])
         out = np.zeros((len(values), width))
-        for i, v in enumerate(values):
-            out[i, : len(v)] = v
+        # all numbers at once, each in its row
+        out[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate(list(values)) if size.sum() else 0
         return np.nan_to_num(out)
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -61,8 +65,9 @@ def cosine_pairs(df: DataFrame, key: str, group: str, vector: str, query: Column
     return block_products(df, key, group, vector, query, keep, f"a {kind}, b {kind}, similarity double, same_group boolean")
 
 
-def similarity_stats(df: DataFrame, key: str, group: str, vector: str, query: Column) -> DataFrame:
-    """``is_positive`` (one group), ``n``, ``mean``, ``std``, ``low``, ``high`` of the cosines of queries and all other rows."""
+def similarity_stats(df: DataFrame, key: str, group: str, vector: str, query: Column | None = None) -> DataFrame:
+    """``is_positive`` (one group), ``n``, ``mean``, ``std``, ``low``, ``high`` of the cosines of queries (of all rows without ``query``) and all other rows."""
+    query = F.lit(True) if query is None else query
 
     def sums(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> pd.DataFrame:
         s = dots / (np.maximum(norms[0], 1e-8)[:, None] * np.maximum(norms[1], 1e-8)[None, :])
@@ -81,17 +86,20 @@ def similarity_stats(df: DataFrame, key: str, group: str, vector: str, query: Co
     return parts.groupBy("is_positive").agg(n.alias("n"), F.round(s / n, 6).alias("mean"), F.round(std, 6).alias("std"), F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"))
 
 
-def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column) -> DataFrame:
-    """``f1`` (of queries), ``f2``: the least distance, at most 1, and the greatest inner product, at least 0, of their vectors."""
+def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column | None = None) -> DataFrame:
+    """``f1`` (of queries, or of all rows without ``query``), ``f2``: the least distance, at most 1, and the greatest inner product, at least 0, of their vectors; rows without a group take no part."""
+    df, query = df.filter(F.col(group).isNotNull()), F.lit(True) if query is None else query
 
     def closest(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> pd.DataFrame:
-        far = np.sqrt(np.maximum(norms[0][:, None] ** 2 + norms[1][None, :] ** 2 - 2 * dots, 0.0))
-        ga, gb, out = q["_g"].to_numpy(), r["_g"].to_numpy(), []
-        for x in pd.unique(ga):
-            d, p = far[ga == x].min(0), dots[ga == x].max(0)
-            for y in pd.unique(gb):
-                out.append((x, y, d[gb == y].min(), p[gb == y].max()))
-        return pd.DataFrame(out, columns=["f1", "f2", "d", "p"])
+        far = np.maximum(norms[0][:, None] ** 2 + norms[1][None, :] ** 2 - 2 * dots, 0.0)
+        # rows and columns by group, so that each pair of groups is a rectangle of the block
+        i, j = q["_g"].argsort(kind="stable").to_numpy(), r["_g"].argsort(kind="stable").to_numpy()
+        ga, gb = q["_g"].to_numpy()[i], r["_g"].to_numpy()[j]
+        x = np.flatnonzero(np.append(True, ga[1:] != ga[:-1]))
+        y = np.flatnonzero(np.append(True, gb[1:] != gb[:-1]))
+        d = np.sqrt(np.minimum.reduceat(np.minimum.reduceat(far[np.ix_(i, j)], x, axis=0), y, axis=1))
+        p = np.maximum.reduceat(np.maximum.reduceat(dots[np.ix_(i, j)], x, axis=0), y, axis=1)
+        return pd.DataFrame({"f1": np.repeat(ga[x], len(y)), "f2": np.tile(gb[y], len(x)), "d": d.ravel(), "p": p.ravel()})
 
     kind = df.schema[group].dataType.simpleString()
     parts = block_products(df, key, group, vector, query, closest, f"f1 {kind}, f2 {kind}, d double, p double")
@@ -119,6 +127,37 @@ def top_neighbours(df: DataFrame, key: str, group: str, vector: str, query: Colu
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("a", "rank", "b", "similarity", "same_group")
 
 
+def first_of_group(df: DataFrame, key: str, group: str, vector: str, query: Column) -> DataFrame:
+    """``a`` (a query), ``first``: the rank of the most similar other row of its group among all other rows, null without any; ties by key."""
+
+    def cosines(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        s = np.round(dots / (np.maximum(norms[0], 1e-8)[:, None] * np.maximum(norms[1], 1e-8)[None, :]), 9)
+        ka, kb = q["_k"].to_numpy(), r["_k"].to_numpy()
+        return s, ka, kb, ka[:, None] != kb[None, :]
+
+    def best(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> pd.DataFrame:
+        s, ka, kb, other = cosines(q, r, dots, norms)
+        s[~(other & (q["_g"].to_numpy()[:, None] == r["_g"].to_numpy()[None, :]))] = -2
+        top = s.argmax(1)  # the first of equals: rows are in order of key
+        found = s[np.arange(len(s)), top]
+        return pd.DataFrame({"a": ka, "_s": found, "_b": np.where(found > -2, kb[top], -1), "_has": found > -2})
+
+    def before(q: pd.DataFrame, r: pd.DataFrame, dots: np.ndarray, norms: list[np.ndarray]) -> pd.DataFrame:
+        s, ka, kb, other = cosines(q, r, dots, norms)
+        least, at = q["_s"].to_numpy(np.float64)[:, None], q["_b"].to_numpy(np.float64)[:, None]
+        ahead = other & ((s > least) | ((s == least) & (kb[None, :] < at)))
+        return pd.DataFrame({"a": ka, "n": ahead.sum(1)})
+
+    kind = df.schema[key].dataType.simpleString()
+    tops = block_products(df, key, group, vector, query, best, f"a {kind}, _s double, _b {kind}, _has boolean").filter("_has")
+    tops = tops.groupBy(F.col("a").alias("_a")).agg(F.max("_s").alias("_s"), F.max_by("_b", F.struct(F.col("_s"), -F.col("_b"))).alias("_b"))
+    tops = written(tops, "best-of-group")
+    asked = df.join(tops, df[key] == tops["_a"], "left")
+    ahead = block_products(asked, key, group, vector, query, before, f"a {kind}, n long", ("_s", "_b"))
+    counted = ahead.groupBy("a").agg(F.sum("n").alias("n"))
+    return counted.join(tops.select(F.col("_a").alias("a"), "_s"), "a", "left").select("a", F.when(F.col("_s").isNotNull(), F.col("n") + 1).alias("first"))
+
+
 def heatmap(linked: DataFrame, value: str, most: int = 200) -> DataFrame:
     """The wide form of a linkage for drawing: a row per ``f2``, a column per ``f1``; of at most ``most`` functions."""
     names = sorted(r[0] for r in linked.select("f1").distinct().limit(most + 1).collect())

@@ -1,4 +1,4 @@
-"""Queries on embeddings.  Comparisons take as queries every vector whose id is divisible by 20."""
+"""Queries on embeddings.  Searches take as queries every vector whose id is divisible by 20; linkage and statistics are over all pairs."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from .views_sql import VECTORS
 
 _COS = "list_dot_product(a.emb, b.emb) / (greatest(sqrt(list_dot_product(a.emb, a.emb)), 1e-8) * greatest(sqrt(list_dot_product(b.emb, b.emb)), 1e-8))"
 _PAIRS = f"WITH {VECTORS}, p AS (SELECT a.path_id AS a, b.path_id AS b, a.func AS fa, b.func AS fb, {_COS} AS s, list_dot_product(a.emb, b.emb) AS dot, list_distance(a.emb, b.emb) AS dist FROM vec a JOIN vec b ON a.path_id % 20 = 0)"
+_ALL = _PAIRS.replace("ON a.path_id % 20 = 0", "ON true")
 
 
 def _asked():  # noqa: ANN202
@@ -34,46 +35,49 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return u.select("path_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(V.dot(F.col("u"), F.col("u")), 6).alias("length"))
 
 
-@query(f"{_PAIRS} SELECT a, b, round(s, 6) AS similarity, fa = fb AS same_group FROM p WHERE a <> b AND s >= 0.3")
+@query(f"{_PAIRS} SELECT a, b, round(s, 6) AS similarity, fa = fb AS same_group FROM p WHERE a <> b")
 def pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
-    p = S.cosine_pairs(vectors(spark, d), "path_id", "func", "emb", _asked(), 0.3)
+    p = S.cosine_pairs(vectors(spark, d), "path_id", "func", "emb", _asked(), -2.0)
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"), "same_group")
 
 
-@query(f"{_PAIRS}, r AS (SELECT a, b, round(s, 6) AS similarity, fa = fb AS is_positive, row_number() OVER (PARTITION BY fa = fb ORDER BY round(s, 6) DESC, a, b) AS rank FROM p WHERE a <> b AND s >= 0.2) SELECT * FROM r WHERE rank <= 50")
+@query(f"{_PAIRS}, r AS (SELECT a, b, round(s, 6) AS similarity, fa = fb AS is_positive, row_number() OVER (PARTITION BY fa = fb ORDER BY round(s, 6) DESC, a, b) AS rank FROM p WHERE a <> b) SELECT * FROM r WHERE rank <= 50")
 def pair_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The 50 most similar pairs of one group and of two."""
     from pyspark.sql import Window
 
-    p = S.cosine_pairs(vectors(spark, d), "path_id", "func", "emb", _asked(), 0.2)
+    p = S.cosine_pairs(vectors(spark, d), "path_id", "func", "emb", _asked(), -2.0)
     p = p.select("a", "b", F.round("similarity", 6).alias("similarity"), F.col("same_group").alias("is_positive"))
     rank = F.row_number().over(Window.partitionBy("is_positive").orderBy(F.col("similarity").desc(), "a", "b"))
     return p.withColumn("rank", rank.cast("long")).filter("rank <= 50")
 
 
-@query(f"{_PAIRS} SELECT fa = fb AS is_positive, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p WHERE a <> b GROUP BY 1")
+@query(f"{_ALL} SELECT fa = fb AS is_positive, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p WHERE a <> b GROUP BY 1")
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.similarity_stats(vectors(spark, d), "path_id", "func", "emb", _asked())
+    return S.similarity_stats(vectors(spark, d), "path_id", "func", "emb")
 
 
-_LINKED = f"{_PAIRS} SELECT fa AS f1, fb AS f2, round(least(1.0, min(dist)), 5) AS distance, round(greatest(0.0, max(dot)), 5) AS inner_product FROM p"
+_LINKED = f"{_ALL} SELECT fa AS f1, fb AS f2, round(least(1.0, min(dist)), 5) AS distance, round(greatest(0.0, max(dot)), 5) AS inner_product FROM p"
 
 
 @query(f"{_LINKED} GROUP BY 1, 2")
 def func_linkage(spark: SparkSession, d: str) -> DataFrame:
-    return S.linkage(vectors(spark, d), "path_id", "func", "emb", _asked())
+    return S.linkage(vectors(spark, d), "path_id", "func", "emb")
 
 
 @query(f"{_LINKED} WHERE fa IN (1, 2) AND fb IN (1, 2) GROUP BY 1, 2")
 def compare_functions(spark: SparkSession, d: str) -> DataFrame:
     """Two chosen functions."""
-    return S.linkage(vectors(spark, d).filter(F.col("func").isin(1, 2)), "path_id", "func", "emb", _asked())
+    return S.linkage(vectors(spark, d).filter(F.col("func").isin(1, 2)), "path_id", "func", "emb")
 
 
-@query(f"{_LINKED} GROUP BY 1, 2")
+_NAMES = range(10)
+
+
+@query(f"{_LINKED} GROUP BY 1, 2".replace(f"{_ALL} SELECT", f"{_ALL}, m AS (SELECT", 1) + ") SELECT f2, " + ", ".join(f'max(distance) FILTER (WHERE f1 = {n}) AS "{n}"' for n in _NAMES) + " FROM m GROUP BY f2")
 def func_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The proximity matrix of functions, in long form."""
-    return S.linkage(vectors(spark, d), "path_id", "func", "emb", _asked()).select("f1", "f2", "distance", "inner_product")
+    """The proximity matrix of functions: a row per function, a column per function."""
+    return S.linkage(vectors(spark, d), "path_id", "func", "emb").groupBy("f2").pivot("f1", list(_NAMES)).agg(F.max("distance"))
 
 
 _DIMS = f"WITH {VECTORS}, x AS (SELECT func, path_id, unnest(emb) AS v, generate_subscripts(emb, 1) AS pos FROM vec)"
@@ -140,11 +144,10 @@ def representative_func(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_PAIRS}, r AS (SELECT a, fa = fb AS same, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rank FROM p WHERE a <> b),
-f AS (SELECT a, min(rank) FILTER (WHERE same AND rank <= 10) AS first FROM r GROUP BY a)
+f AS (SELECT a, min(rank) FILTER (WHERE same) AS first FROM r GROUP BY a)
 SELECT count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_10 FROM f""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """How early a vector of the same function is found: mean reciprocal rank and hits within ten."""
-    top = S.top_neighbours(vectors(spark, d), "path_id", "func", "emb", _asked(), 10)
-    first = top.groupBy("a").agg(F.min(F.when(F.col("same_group"), F.col("rank"))).alias("first"))
+    """How early a vector of the same function is found: mean reciprocal rank, and hits within one and ten."""
+    first = S.first_of_group(vectors(spark, d), "path_id", "func", "emb", _asked())
     hit = lambda n: F.round(F.avg(F.when(F.col("first") <= n, 1.0).otherwise(0.0)), 6)
     return first.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), hit(1).alias("hit_at_1"), hit(10).alias("hit_at_10"))
