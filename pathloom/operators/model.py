@@ -46,12 +46,12 @@ def gelu(x: np.ndarray) -> np.ndarray:
 
 def conv(x: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """x: batch x length x in; w: taps x in x out; zeros around keep the length."""
-    half = len(w) // 2
+    half, (rows, n, wide) = len(w) // 2, x.shape
     padded = np.pad(x, ((0, 0), (half, half), (0, 0)))
-    out = np.broadcast_to(bias, (*x.shape[:2], w.shape[2])).copy()
-    for k in range(len(w)):
-        out += padded[:, k : k + x.shape[1]] @ w[k]
-    return out
+    # every place with its neighbours as one long row: a single product for all taps
+    near = np.lib.stride_tricks.sliding_window_view(padded, len(w), axis=1).transpose(0, 1, 3, 2)
+    out = near.reshape(rows * n, len(w) * wide) @ w.reshape(-1, w.shape[2])
+    return (out + bias).reshape(rows, n, w.shape[2])
 
 
 def encode_batch(w: Weights, ids: np.ndarray) -> np.ndarray:
@@ -82,10 +82,20 @@ def masked_loss(online: Weights, target: Weights, ids: np.ndarray, hidden: np.nd
     return smooth_l1(predict_batch(online, context)[asked], encode_batch(target, ids)[asked])
 
 
-def _apply(df: DataFrame, key: str, ids: str, weights: Weights, predict: bool) -> DataFrame:
+def _spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores: a row's work outweighs moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, df.rdd.getNumPartitions()))
+
+
+def _apply(df: DataFrame, keys: list[str] | str, ids: str, weights: Weights, predict: bool, figures: bool) -> DataFrame:
+    """``keys`` and ``emb``, or with ``figures`` instead ``dims`` and the length of ``emb`` before it was made 1."""
+    keys = [keys] if isinstance(keys, str) else keys
+    at = len(keys)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            lists = [np.array([i or 0 for i in v or []], np.int64) for v in b.column(1).to_pylist()]
+            lists = [np.array([i or 0 for i in v or []], np.int64) for v in b.column(at).to_pylist()]
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(lists):
                 by_length.setdefault(len(v), []).append(i)
@@ -98,22 +108,66 @@ def _apply(df: DataFrame, key: str, ids: str, weights: Weights, predict: bool) -
                         if predict:
                             z = predict_batch(weights, z[:, -1])
                         z = z.reshape(len(part), -1)
-                        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-8)
                     else:
                         z = np.zeros((len(part), 0), np.float32)
-                    starts = pa.array(np.arange(len(part) + 1) * z.shape[1], pa.int32())
-                    vectors = pa.ListArray.from_arrays(starts, pa.array(z.ravel().astype(np.float32, copy=False)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), vectors], names=[key, "emb"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ids).mapInArrow(run, f"{key} {kind}, emb array<float>")
-
-
-def encode_paths(df: DataFrame, key: str, ids: str, weights: Weights) -> DataFrame:
-    """``key``, ``emb``: the vectors of all places end to end, of unit length; none for an empty sequence."""
-    return _apply(df, key, ids, weights, predict=False)
-
-
-def predict_paths(df: DataFrame, key: str, ids: str, weights: Weights, mask_id: int = 2) -> DataFrame:
-    """``key``, ``emb``: the vector predicted for a masked place after the last token, of unit length."""
-    return _apply(df.withColumn(ids, F.array_append(ids, mask_id)), key, ids, weights, predict=True)
+                    length = np.linalg.norm(z, axis=1, keepdims=True)
+                    if figures:
+                        shown = [pa.array(np.full(len(part), z.shape[1])), pa.array(length[:, 0].astype(np.float64))]
+                    else:
+                        z = z / np.maximum(length, 1e-8)
+                        starts = pa.array(np.arange(len(part) + 1) * z.shape[1], pa.int32())
+                        shown = [pa.ListArray.from_arrays(starts, pa.array(z.ravel().astype(np.float32, copy=False)))]
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(part)) for c in b.columns[:at]] + shown, names=[*keys, *(["dims", "length"] if figures else ["emb"])])
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return _spread(df.select(*keys, ids)).mapInArrow(run, f"{kinds}, " + ("dims long, length double" if figures else "emb array<float>"))
+
+
+def encode_paths(df: DataFrame, keys: list[str] | str, ids: str, weights: Weights, figures: bool = False) -> DataFrame:
+    """``keys``, ``emb``: the vectors of all places end to end, of unit length; none for an empty sequence.
+
+    figures: only their number and length leave the task, not the vectors.
+    """
+    return _apply(df, keys, ids, weights, False, figures)
+
+
+def predict_paths(df: DataFrame, keys: list[str] | str, ids: str, weights: Weights, mask_id: int = 2, figures: bool = False) -> DataFrame:
+    """``keys``, ``emb``: the vector predicted for a masked place after the last token, of unit length."""
+    return _apply(df.withColumn(ids, F.array_append(ids, mask_id)), keys, ids, weights, True, figures)
+
+
+class PaddedEncoder:
+    """Vectors of sequences padded to one length, without the places that see nothing but padding: those are the same in all."""
+
+    def __init__(self, weights: Weights, length: int) -> None:
+        self.weights, self.length = weights, length
+        blank = encode_batch(weights, np.zeros((1, 21), np.int64))[0]
+        self.inner, self.tail = blank[10], float((blank[-5:] ** 2).sum())
+        self.square = float((self.inner**2).sum())
+
+    def encode(self, ids: np.ndarray) -> np.ndarray:
+        """length x out, or fewer rows, after which rows are ``inner`` but for the last five of the padded length."""
+        ids = ids[: self.length]
+        whole = len(ids) + 10 >= self.length
+        filled = np.zeros(self.length if whole else len(ids) + 10, np.int64)
+        filled[: len(ids)] = ids
+        z = encode_batch(self.weights, filled[None])[0]
+        return z if whole else z[: len(ids) + 5]
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+        """Cosine, distance and inner product of two results of ``encode``, flattened and made of unit length."""
+        if len(x) > len(y):
+            x, y = y, x
+        if len(x) < self.length <= len(y):
+            # the longer one is whole: so are the last places of the shorter one
+            x = np.concatenate([x, np.broadcast_to(self.inner, (self.length - 5 - len(x), x.shape[1])), self.last_five()])
+        more = np.broadcast_to(self.inner, (len(y) - len(x), x.shape[1]))
+        rest = 0.0 if len(y) >= self.length else (self.length - 5 - len(y)) * self.square + self.tail
+        xx = float((x**2).sum()) + len(more) * self.square + rest
+        yy = float((y**2).sum()) + rest
+        xy = float((x * y[: len(x)]).sum()) + float((more * y[len(x) :]).sum()) + rest
+        cosine = xy / max(np.sqrt(xx * yy), 1e-8)
+        return cosine, float(np.sqrt(max(0.0, 2 - 2 * cosine))), cosine
+
+    def last_five(self) -> np.ndarray:
+        return encode_batch(self.weights, np.zeros((1, 21), np.int64))[0][-5:]

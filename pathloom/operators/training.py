@@ -39,13 +39,35 @@ def _conv_back(x: np.ndarray, w: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray
     return dpad[:, half : half + n], dw, dy.sum((0, 1))
 
 
+#: Places to each side that a place of the encoder sees.
+SEEN = 5
+
+
+def seen_part(ids: np.ndarray, hidden: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of each row that its asked places see; loss and gradients are the same as of the whole rows.
+
+    Every row is cut to one width, that of the widest; a row's cut ends with the
+    row or ``SEEN`` places beyond its asked ones.
+    """
+    n = ids.shape[1]
+    some = asked.any(1)
+    if not some.any():
+        return ids[:0], hidden[:0], asked[:0]
+    ids, hidden, asked = ids[some], hidden[some], asked[some]
+    first = np.maximum(asked.argmax(1) - SEEN, 0)
+    last = np.minimum(n - asked[:, ::-1].argmax(1) + SEEN, n)
+    width = int((last - first).max())
+    at = np.minimum(first, n - width)[:, None] + np.arange(width)
+    return tuple(np.take_along_axis(x, at, 1) for x in (ids, hidden, asked))
+
+
 def loss_and_gradients(w: Weights, target: Weights, ids: np.ndarray, hidden: np.ndarray, asked: np.ndarray) -> tuple[float, Weights]:
     """The smooth L1 loss at the asked places, from ids with the hidden places masked, and its gradients.
 
     No place asked: no loss.
     """
-    places = int(asked.sum())
-    if not places:
+    ids, hidden, asked = seen_part(ids, hidden, asked)
+    if not len(ids):
         return 0.0, {k: np.zeros_like(v) for k, v in w.items()}
     masked = np.where(hidden, MASK, ids)
     e = w["embedding"][masked]
@@ -120,7 +142,7 @@ def train(df: DataFrame, key: str, ids: str, weights: Weights, epochs: int = 10,
     online, target, log = dict(weights), dict(weights), []
 
     def square(column: pa.Array, dtype: type) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype).reshape(len(column), length)
+        return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), length)
 
     for epoch in range(1, epochs + 1):
         sent = _packed(online, target)

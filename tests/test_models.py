@@ -20,8 +20,27 @@ def test_the_mask_follows_the_last_token(spark):
     rng = np.random.default_rng(0)
     paths = {i: rng.integers(3, 5000, n).tolist() for i, n in enumerate((0, 1, 64, 65, 300, 9000))}
     df = spark.createDataFrame(list(paths.items()), "k long, ids array<int>")
-    for r in M.predict_paths(df, "k", "ids", w).collect():
+    for r in M.predict_paths(df, ["k"], "ids", w).collect():
         z = M.predict_batch(w, M.encode_batch(w, np.array([[*paths[r.k], 2]]))[:, -1])[0]
         assert np.allclose(r.emb, z / np.linalg.norm(z), atol=1e-5)
-    got = {r.k: len(r.emb) for r in M.encode_paths(df, "k", "ids", w).collect()}
+    got = {r.k: len(r.emb) for r in M.encode_paths(df, ["k"], "ids", w).collect()}
     assert got == {k: 6 * len(v) for k, v in paths.items()}
+
+
+def test_padded_sequences_compare_as_if_encoded_whole():
+    w = M.init_weights(50, 4, 6, 6, 8)
+    rng = np.random.default_rng(1)
+    for length in (12, 40):
+        e = M.PaddedEncoder(w, length)
+        rows = [rng.integers(3, 50, n) for n in (1, 3, 12, 20, 29, 31, 36, 40, 60)]
+        whole = []
+        for r in rows:
+            x = np.zeros((1, length), np.int64)
+            x[0, : min(length, len(r))] = r[:length]
+            z = M.encode_batch(w, x).ravel()
+            whole.append(z / np.linalg.norm(z))
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows):
+                got = e.compare(e.encode(a), e.encode(b))
+                assert np.allclose(got[0], whole[i] @ whole[j], atol=1e-5)
+                assert np.allclose(got[1], np.linalg.norm(whole[i] - whole[j]), atol=2e-3)

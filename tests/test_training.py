@@ -33,3 +33,14 @@ def test_loss_falls_and_edges(spark):
     assert set(new) == set(w) == set(target) and np.abs(target["conv0"] - w["conv0"]).max() < np.abs(new["conv0"] - w["conv0"]).max()
     same, _, none = training.train(df.limit(0), "k", "ids", w, epochs=1)
     assert none == [(1, 0.0)] and all((same[k] == w[k]).all() for k in w)
+
+
+def test_places_that_are_not_seen_do_not_matter():
+    rng = np.random.default_rng(2)
+    w = {k: v.astype(np.float64) for k, v in model.init_weights(9, 3, 4, 3, 5, seed=1).items()}
+    ids = rng.integers(3, 9, (6, 40))
+    asked = np.zeros((6, 40), bool)
+    asked[[0, 1, 2, 3, 3], [0, 39, 20, 7, 12]] = True
+    loss, _ = training.loss_and_gradients(w, w, ids, asked, asked)
+    assert loss == pytest.approx(model.masked_loss(w, w, ids, asked, asked))
+    assert training.seen_part(ids, asked, asked)[0].shape == (4, 16)
