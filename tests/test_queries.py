@@ -1,5 +1,9 @@
 """Every query of the core against its SQL, and the driver's contract."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from oracle import same
 
@@ -24,3 +28,9 @@ def test_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     df = e.entry(spark)
     assert df.columns == ["token", "id", "freq"] and df.count() > 3
+
+
+def test_core_remains_without_a_package_of_the_rest():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'vocab' in q and set(s) <= set(q)"
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=here, check=True)
