@@ -1,9 +1,9 @@
 """Frequency of every distinct term: occurrences, and records that hold it.
 
-Per-record term counts are made where a record lies, repeated deliveries of a
-record are dropped, and what is left is summed by hash on each task before the
-one shuffle by term.  A term that holds a third of all occurrences therefore
-reaches the shuffle as one row per task.
+Repeated deliveries of a record are found by ids alone.  Per-record term counts
+are made where a record lies and summed by hash on each task before the one
+shuffle by term.  A term that holds a third of all occurrences therefore
+reaches the shuffle as one row per task, and no record's counts are shuffled.
 
 Defined cases
     null or empty token list: the record counts, without terms;
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.once import once
 from .arrow_tokens import batches, row_counts, token_batch
 
 
 def _count_terms(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(source):
-        flat = token_batch(b.column(2))
+        flat = token_batch(b.column(1))
         row, code, count = row_counts(flat)
         if None in flat.words:
             keep = code != flat.words.index(None)
@@ -37,17 +38,17 @@ def _count_terms(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
         words = pa.array(flat.words, pa.string()).take(pa.array(code))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.ListArray.from_arrays(starts, words), pa.ListArray.from_arrays(starts, pa.array(count, pa.int32()))],
-            names=["_id", "_row", "_terms", "_counts"],
+            [b.column(0), pa.ListArray.from_arrays(starts, words), pa.ListArray.from_arrays(starts, pa.array(count, pa.int32()))],
+            names=["_id", "_terms", "_counts"],
         )
 
 
 def record_terms(df: DataFrame, record: str = "path_id", tokens: str = "tokens") -> DataFrame:
-    """One row per record: _id, _row (null but where _id is), _terms, _counts."""
-    base = df.select(F.col(record).alias("_id"), F.when(F.col(record).isNull(), F.monotonically_increasing_id()).alias("_row"), F.col(tokens).alias("_tokens"))
+    """One row per record: _id, _terms, _counts."""
+    base = once(df.select(F.col(record).alias("_id"), F.col(tokens).alias("_tokens")), "_id", nulls=False)
     kind = base.schema["_id"].dataType
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("_row", T.LongType()), T.StructField("_terms", T.ArrayType(T.StringType())), T.StructField("_counts", T.ArrayType(T.IntegerType()))])
-    return base.mapInArrow(_count_terms, schema).dropDuplicates(["_id", "_row"])
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("_terms", T.ArrayType(T.StringType())), T.StructField("_counts", T.ArrayType(T.IntegerType()))])
+    return base.mapInArrow(_count_terms, schema)
 
 
 def term_frequencies(df: DataFrame, record: str = "path_id", tokens: str = "tokens") -> DataFrame:
