@@ -2,21 +2,23 @@
 
 Vectors are projected on random directions inside the main subspace of a
 bounded sample, every coordinate becomes its quantile, and the Hilbert index of
-the shifted quantiles is a key.  Several such orderings are range-partitioned
-by Spark into windows of neighbouring keys; inside a window every vector is
-compared with every other by a matrix product.  The windows of all orderings
-are merged, and the best k reranked.
+the shifted quantiles is a key.  Several such orderings are cut into windows of
+neighbouring keys, and each window takes the edges of its two neighbours as
+well; inside a window every vector is compared with every other by a matrix
+product.  The windows of all orderings are merged, and the best k reranked.
 
-Equal vectors (bit by bit) are one class before the search, so that copies,
-however many, fill no window; each member's list is then made of its own class
-and of the members of the classes found.
+Vectors of one direction (equal at 12 bits a number of the greatest one, so that
+their cosine differs from 1 by less than 1e-5) are one class before the search:
+copies, however many and however scaled, fill no window.  Each member's list is
+then made of its own class and of the members of the classes found.
 
 Accuracy.  A window holds an ever smaller share of a growing table, so the
 number of orderings is not fixed: the exact neighbours of some sampled records
 are found by brute force, and orderings are added until the windows hold
-``recall`` of them.  README.md has figures against brute force.  Windows hold vectors at 12 bits a number, similarities
-are good to about 2e-4; pairs near a threshold are computed again from the stored
-vectors by ``exact_pairs``.
+``recall`` of them.  README.md has figures against brute force.  Windows hold
+vectors at 12 or 8 bits a number; a list goes on past its k-th place as long as
+similarities are closer to it than ``slack``, so that a search whose result is
+computed again from the stored vectors loses nothing to the packing.
 
 Defined cases
     null, short, long, zero or not finite vectors, null ids: take no part;
@@ -26,6 +28,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -38,12 +41,14 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 64, 12, 4
+SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 32, 12, 4
 BROADCAST_IDS = 1_000_000
 #: Records whose exact neighbours decide the number of orderings, and the number at which a warning ends the search for more.
-ASKED, MOST_ORDERINGS = 256, 256
-#: Cosines of packed vectors are closer than this to the true ones.
+ASKED, MOST_ORDERINGS = 1024, 256
+#: Cosines of vectors packed at 12 bits are closer than this to the true ones.
 SLACK = 0.001
+#: The share of a window that it takes of each neighbour.
+HALO = 1 / 16
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -141,6 +146,26 @@ def unpack12(data: list[bytes], dim: int) -> np.ndarray:
     return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
 
+def packed(v: np.ndarray, bits: int) -> list[bytes]:
+    """At 12 or 8 bits a number."""
+    if bits == 12:
+        return pack12(v)
+    q = np.rint(v / np.maximum(np.abs(v).max(1, keepdims=True), 1e-30) * 127).astype(np.int8)
+    return [x.tobytes() for x in q]
+
+
+def slack_of(bits: int, dim: int) -> float:
+    """What cosines of packed vectors are closer than to the true ones: at 8 bits eight standard deviations of the rounding."""
+    return SLACK if bits == 12 else 0.08 / math.sqrt(dim)
+
+
+def unpacked(data: list[bytes], dim: int, bits: int) -> np.ndarray:
+    if bits == 12:
+        return unpack12(data, dim)
+    q = np.frombuffer(b"".join(data), np.int8).reshape(len(data), dim).astype(np.float32)
+    return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+
+
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of every row, unordered; the width is a multiple of 64.
 
@@ -157,40 +182,54 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(cols, np.argpartition(-near, k - 1, axis=1)[:, :k], 1)
 
 
-def _window_lists(keep: int, dim: int):  # noqa: ANN202
+def _window_lists(k: int, dim: int, bits: int, slack: float, least: float):  # noqa: ANN202
+    """The lists of a window's own rows: the k most similar of the window, those as similar as the k-th but for ``slack``, none under ``least``."""
+    keep = k + 1
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in source if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        order, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-        v = unpack12(t.column(2).to_pylist(), dim)
-        for o in np.unique(order):
-            at = np.flatnonzero(order == o)
-            at = at[np.argsort(ids[at], kind="stable")]
-            n = len(at)
+        window, ids, own = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy()
+        v = unpacked(t.column(3).to_pylist(), dim, bits)
+        for o in np.unique(window):
+            at = np.flatnonzero(window == o)
+            at = at[np.lexsort((ids[at], ~own[at]))]
+            n, mine = len(at), int(own[at].sum())
             w = np.zeros((-(-n // 64) * 64, dim), np.float32)
             w[:n] = v[at]
             names = np.append(ids[at], np.zeros(len(w) - n, ids.dtype))
-            for x in range(0, n, 512):
-                s = w[x : min(x + 512, n)] @ w.T
+            for x in range(0, mine, 512):
+                s = w[x : min(x + 512, mine)] @ w.T
                 rows = np.arange(len(s))
                 s[rows, x + rows] = -4
                 s[:, n:] = -4
                 top = _top(s, keep)
-                sim = np.round(np.take_along_axis(s, top, 1), 5)
-                ok = sim > -3
-                starts = pa.array(np.concatenate(([0], np.cumsum(ok.sum(1)))), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[x : x + len(s)], pa.int64()), pa.ListArray.from_arrays(starts, pa.array(-sim[ok], pa.float32())), pa.ListArray.from_arrays(starts, pa.array(names[top][ok], pa.int64()))],
-                    names=["_id", "_d", "_near"],
-                )
+                sim = np.take_along_axis(s, top, 1)
+                row, near, found = np.repeat(rows, top.shape[1]), top.ravel(), sim.ravel()
+                if top.shape[1] >= keep:
+                    # where even the last one kept is as similar as the k-th, all that are so similar
+                    edge = np.maximum(np.sort(sim, axis=1)[:, -k] - slack, least)
+                    more = np.flatnonzero(sim.min(1) >= edge)
+                    if len(more):
+                        i, j = np.nonzero(s[more] >= edge[more, None])
+                        keep_row = ~np.isin(row, more)
+                        row, near, found = np.append(row[keep_row], more[i]), np.append(near[keep_row], j), np.append(found[keep_row], s[more[i], j])
+                        order = np.argsort(row, kind="stable")
+                        row, near, found = row[order], near[order], found[order]
+                ok = found > max(-3, least)
+                row, near, found = row[ok], near[ok], np.round(found[ok], 5)
+                starts = pa.array(np.searchsorted(row, np.arange(len(s) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, pa.array(-found, pa.float32())), pa.ListArray.from_arrays(starts, pa.array(names[near], pa.int64()))]
+                out = pa.RecordBatch.from_arrays([pa.array(names[x : x + len(s)], pa.int64()), *lists], names=["_id", "_d", "_near"])
+                yield out if least <= -1 else out.filter(pa.array(np.diff(np.asarray(starts)) > 0))
 
     return run
 
 
-def _true_pairs(df: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): asked vectors and each of their k nearest of all rows, by brute force; not those of the same direction."""
+def _true_pairs(df: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int, dim: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): asked vectors and each of their k nearest of all rows, by brute force; not those of the same direction, none under ``least``."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, near = np.full((len(names), k), -4, np.float32), np.zeros((len(names), k, dim), np.float32)
@@ -206,7 +245,7 @@ def _true_pairs(df: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int, d
                 best = np.take_along_axis(s, top, 1)
                 old = np.take_along_axis(near, np.minimum(top, k - 1)[:, :, None], 1)
                 near = np.where((top < k)[:, :, None], old, part[np.maximum(top - k, 0)])
-        a, j = np.nonzero(best > -3)
+        a, j = np.nonzero(best > max(-3, least))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(best[a, j]), pa.array(pack12(near[a, j]), pa.binary())], names=["_a", "_s", "_v"])
 
@@ -218,14 +257,41 @@ def _true_pairs(df: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int, d
     return vectors[[r[0] for r in got]], unpack12([bytes(r[1]) for r in got], dim)
 
 
-def enough_orderings(fitted: Orderings, sample: np.ndarray, a: np.ndarray, b: np.ndarray, windows: int, recall: float) -> int:
-    """How many orderings it takes until ``recall`` of the pairs a, b share one of ``windows`` windows; adds those that lack."""
+class Windows:
+    """Where the windows of an ordering begin, from the keys of a sample, and what they take of their neighbours."""
+
+    def __init__(self, fitted: Orderings, sample: np.ndarray, count: int) -> None:
+        self.fitted, self.sample, self.count = fitted, sample, count
+        self.low: list[np.ndarray] = []
+        self.edge: list[np.ndarray] = []
+        self.high: list[np.ndarray] = []
+
+    def of(self, which: int) -> None:
+        while len(self.edge) <= which:
+            o = len(self.edge)
+            if o == len(self.fitted.project):
+                self.fitted.add(self.sample)
+            keys = np.sort(self.fitted.keys(self.sample, o))
+            inner = np.arange(1, self.count) / self.count
+            for held, shift in ((self.low, -HALO), (self.edge, 0.0), (self.high, HALO)):
+                held.append(keys[np.clip((inner + shift / self.count) * len(keys), 0, len(keys) - 1).astype(np.int64)])
+
+    def placed(self, v: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first, last): a row's own window, and the windows that hold it, which are that and its neighbours at most."""
+        self.of(which)
+        keys = self.fitted.keys(v, which)
+        own = np.searchsorted(self.edge[which], keys, side="right")
+        first = np.maximum(np.searchsorted(self.high[which], keys, side="left"), own - 1)
+        last = np.minimum(np.searchsorted(self.low[which], keys, side="right"), own + 1)
+        return own, np.minimum(first, own), np.maximum(last, own)
+
+
+def enough_orderings(windows: Windows, a: np.ndarray, b: np.ndarray, recall: float) -> int:
+    """How many orderings it takes until ``recall`` of the pairs a, b meet in a window of a; adds those that lack."""
     met = np.zeros(len(a), bool)
     for o in range(MOST_ORDERINGS):
-        if o == len(fitted.project):
-            fitted.add(sample)
-        order = np.sort(fitted.keys(sample, o))
-        met |= np.searchsorted(order, fitted.keys(a, o)) * windows // len(order) == np.searchsorted(order, fitted.keys(b, o)) * windows // len(order)
+        own, (_, first, last) = windows.placed(a, o)[0], windows.placed(b, o)
+        met |= (first <= own) & (own <= last)
         if met.mean() >= recall:
             return o + 1
     warnings.warn(f"{MOST_ORDERINGS} orderings find {met.mean():.3f} of the nearest vectors, not {recall}", stacklevel=2)
@@ -239,23 +305,29 @@ def _ids_joined(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(ids, on, how)
 
 
-def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 4, window: int = 24576, seed: int = 7, recall: float = 0.95) -> DataFrame:
-    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (to about 2e-4) for every usable row.
+def neighbours(
+    df: DataFrame, record: str = "record_id", vector: str = "embedding", k: int = 5, dim: int = 256, orderings: int = 2, window: int = 8192, seed: int = 7,
+    recall: float = 0.95, spare: float = 0.0, bits: int = 12, slack: float = 0.0, least: float = -2.0,
+) -> DataFrame:
+    """``record``, ``rank`` (from 1), ``neighbour``, ``similarity`` (as good as the packing) for every usable row.
 
-    orderings: at least so many; more where a sample shows that it takes more for ``recall``.
+    window: about how many vectors one is compared with in an ordering.  orderings:
+    at least so many; more where a sample shows that it takes more for ``recall``,
+    and ``spare`` (a share) beyond.  slack: lists go on past k while similarities are so close to the
+    k-th.  least: no similarity under it is wanted, and ``recall`` is of the others.
     """
     base = df.select(F.col(record).cast("long").alias("_id"), F.col(vector).alias("_v")).filter(F.col("_id").isNotNull() & (F.size("_v") == dim))
 
     def named(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             rows, v = usable(b.column(1), dim)
-            names = [xxhash.xxh3_128_digest(x.tobytes()) for x in v]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(names, pa.binary())], names=["_id", "_name"])
+            names = [xxhash.xxh3_128_digest(x) for x in pack12(unit(v))] if len(v) else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.binary())], names=["_id", "_name"])
 
     members = written(base.mapInArrow(named, "_id long, _name binary").distinct(), "vector-names")
     classes = members.groupBy("_name").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"))
     copied = written(classes.filter("_n > 1").select("_name", "_rep"), "copied-vectors")
-    in_copied = written(members.join(copied, "_name").select("_rep", F.col("_id").alias("_member")), "copies")
+    in_copied = written(_ids_joined(members, copied, "_name", "inner").select("_rep", F.col("_id").alias("_member")), "copies")
     surplus = in_copied.filter("_member <> _rep").select(F.col("_member").alias("_id")).distinct()
     n = members.count()
     alone = _ids_joined(base, surplus, "_id", "left_anti") if n else base
@@ -266,17 +338,21 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(pack12(unit(v)) if len(v) else [], pa.binary())], names=["_id", "_v"])
 
     per_order = max(1, -(-n // window))
-    size = max(SAMPLE, 8 * per_order)
+    size = max(SAMPLE, 16 * per_order)
     share = min(1.0, size / max(1, n))
-    part = base.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).mapInArrow(sampled, "_id long, _v binary").limit(2 * size)
+    part = alone.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).mapInArrow(sampled, "_id long, _v binary").limit(2 * size)
     drawn = sorted((r[0], bytes(r[1])) for r in part.collect())
     taken = [v for _, v in drawn]
     sample = unpack12(taken, dim) if len(taken) > 1 else np.eye(2, dim, dtype=np.float32)
-    fitted = Orderings(sample, orderings, seed)
-    if per_order > 1 and len(taken) > 1:
+    windows = Windows(Orderings(sample, orderings, seed), sample, per_order)
+    if per_order == 1:
+        orderings = 1  # one window holds all
+    elif len(taken) > 1:
         at = np.sort(np.random.default_rng(seed).permutation(len(taken))[:ASKED])
-        a, b = _true_pairs(alone, np.array([drawn[i][0] for i in at]), sample[at], k, dim)
-        orderings = max(orderings, enough_orderings(fitted, sample, a, b, per_order, recall)) if len(a) else orderings
+        a, b = _true_pairs(alone, np.array([drawn[i][0] for i in at]), sample[at], k, dim, least)
+        if len(a):
+            orderings = max(orderings, math.ceil(enough_orderings(windows, a, b, recall) * (1 + spare)))
+    windows.of(orderings - 1)
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
@@ -285,16 +361,21 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
                 continue
             v = unit(v)
             ids = b.column(0).take(pa.array(rows))
-            packed = pa.array(pack12(v), pa.binary())
+            data = pa.array(packed(v, bits), pa.binary())
             for o in range(orderings):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), o), pa.int32()), pa.array(fitted.keys(v, o)), ids, packed], names=["_order", "_key", "_id", "_v"])
-
-    windows = orderings * per_order
-    keys = alone.mapInArrow(keyed, "_order int, _key long, _id long, _v binary").repartitionByRange(windows, "_order", "_key", "_id")
-    lists = keys.select("_order", "_id", "_v").mapInArrow(_window_lists(k + 1, dim), "_id long, _d array<float>, _near array<long>")
-    zipped = F.arrays_zip(F.flatten(F.collect_list("_d")).alias("d"), F.flatten(F.collect_list("_near")).alias("id"))
-    merged = lists.groupBy("_id").agg(F.slice(F.array_sort(F.array_distinct(zipped)), 1, k + 1).alias("_near"))
-    merged = written(merged, "neighbour-classes")
+                own, first, last = windows.placed(v, o)
+                for shift in (-1, 0, 1):
+                    i = np.flatnonzero((own + shift >= first) & (own + shift <= last))
+                    yield pa.RecordBatch.from_arrays([pa.array((o * per_order + own[i] + shift).astype(np.int32)), ids.take(pa.array(i)), pa.array(np.full(len(i), shift == 0)), data.take(pa.array(i))], names=["_window", "_id", "_own", "_v"])
+
+    # every window is a task of its own
+    keys = alone.mapInArrow(keyed, "_window int, _id long, _own boolean, _v binary").repartitionById(orderings * per_order, "_window")
+    lists = keys.mapInArrow(_window_lists(k, dim, bits, slack, least), "_id long, _d array<float>, _near array<long>")
+    zipped = F.array_sort(F.array_distinct(F.arrays_zip(F.flatten(F.collect_list("_d")).alias("d"), F.flatten(F.collect_list("_near")).alias("id"))))
+    merged = lists.groupBy("_id").agg(zipped.alias("_near"))
+    upto = F.try_element_at("_near", F.lit(k))["d"] + F.lit(slack)
+    closest = F.when(F.size("_near") > k, F.concat(F.slice("_near", 1, k), F.filter(F.slice("_near", k + 1, F.size("_near")), lambda e: e["d"] <= upto))).otherwise(F.col("_near"))
+    merged = written(merged.select("_id", closest.alias("_near")), "neighbour-classes")
 
     # members of the classes found: the k + 1 smallest ids of a class stand for it
     first = F.row_number().over(Window.partitionBy("_rep").orderBy("_member"))
@@ -303,9 +384,12 @@ def neighbours(df: DataFrame, record: str = "record_id", vector: str = "embeddin
     flat = flat.join(heads.withColumnRenamed("_rep", "_near"), "_near", "left")
     flat = flat.select("_id", "_d", F.explode(F.coalesce("_ids", F.array("_near"))).alias("_near"))
     own = heads.select(F.col("_rep").alias("_id"), F.lit(-1.0).cast("float").alias("_d"), F.explode("_ids").alias("_near"))
-    listed = flat.union(own).groupBy("_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("_d", "_near"))), 1, 2 * k + 2).alias("_list"))
-    others = listed.withColumnRenamed("_id", "_rep").join(in_copied.filter("_member <> _rep"), "_rep").select(F.col("_member").alias("_id"), "_list")
-    best = F.slice(F.filter("_list", lambda e: e["_near"] != F.col("_id")), 1, k)
+    listed = flat.union(own).groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("_d", "_near"))).alias("_list"))
+    others = in_copied.filter("_member <> _rep").join(listed.withColumnRenamed("_id", "_rep"), "_rep").select(F.col("_member").alias("_id"), "_list")
+    rest = F.filter("_list", lambda e: e["_near"] != F.col("_id"))
+    last = F.try_element_at(rest, F.lit(k))["_d"] + F.lit(slack)
+    best = F.when(F.size(rest) > k, F.concat(F.slice(rest, 1, k), F.filter(F.slice(rest, k + 1, F.size(rest)), lambda e: e["_d"] <= last))) if slack else F.slice(rest, 1, k)
+    best = F.coalesce(best, rest) if slack else best
     out = listed.union(others).select("_id", F.posexplode(best).alias("_p", "_e"))
     return out.select(F.col("_id").alias(record), (F.col("_p") + 1).alias("rank"), F.col("_e._near").alias("neighbour"), (-F.col("_e._d")).alias("similarity"))
 
@@ -324,21 +408,22 @@ def exact_pairs(pairs: DataFrame, df: DataFrame, record: str = "record_id", vect
     return both.select("a", "b", F.round(dot("_va", "_vb") / (F.sqrt(dot("_va", "_va")) * F.sqrt(dot("_vb", "_vb"))), 12).alias("cosine"))
 
 
-def similar_pairs(df: DataFrame, record: str = "record_id", vector: str = "embedding", least: float = 0.8, k: int = 5, **search) -> DataFrame:  # noqa: ANN003
+def similar_pairs(df: DataFrame, record: str = "record_id", vector: str = "embedding", least: float = 0.8, k: int = 5, dim: int = 256, bits: int = 8, **search) -> DataFrame:  # noqa: ANN003
     """``a`` < ``b`` of cosine at least ``least``, one among the k most similar of the other (ties: the smaller id first).
 
-    The packed vectors decide all but the pairs close to the threshold, and those
+    The search looks for pairs from ``least`` on only, and adds orderings until all
+    of a sample are found, and half as many again.  The packed vectors decide all but the pairs close to the threshold, and those
     close to a k-th place that a later one is close to as well: their cosines
     are computed from the stored vectors.
     """
-    near = neighbours(df, record, vector, k + 3, **search).filter(F.col("similarity") >= least - SLACK)
+    slack = slack_of(bits, dim)
+    near = neighbours(df, record, vector, k, dim, **({"recall": 1.0, "spare": 0.5, "bits": bits, "slack": 2 * slack, "least": least - slack} | search))
     lists = near.groupBy(F.col(record).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour").alias("n"), F.col("similarity").alias("s")))).alias("_l"))
-    lists = lists.withColumn("_k", F.try_element_at("_l", F.lit(k))["s"]).withColumn("_after", F.try_element_at("_l", F.lit(k + 1))["s"])
-    open_end = F.coalesce(F.col("_k") - F.col("_after") < SLACK, F.lit(False))
-    each = lists.select("_id", F.col("_k").alias("_s"), open_end.alias("_open"), F.explode("_l").alias("_e")).select("_id", "_s", "_open", F.col("_e.rank").alias("_rank"), F.col("_e.n").alias("_n"), F.col("_e.s").alias("_sim"))
-    unsure = F.col("_open") & (F.abs(F.col("_sim") - F.col("_s")) < SLACK)
+    lists = lists.withColumn("_k", F.try_element_at("_l", F.lit(k))["s"]).withColumn("_open", F.size("_l") > k)
+    each = lists.select("_id", F.col("_k").alias("_s"), "_open", F.explode("_l").alias("_e")).select("_id", "_s", "_open", F.col("_e.rank").alias("_rank"), F.col("_e.n").alias("_n"), F.col("_e.s").alias("_sim"))
+    unsure = F.col("_open") & (F.abs(F.col("_sim") - F.col("_s")) <= 2 * slack)
     each = each.filter(unsure | (F.col("_rank") <= k))
-    each = written(each.select("_id", "_n", "_rank", F.coalesce(unsure, F.lit(False)).alias("_unsure"), (F.coalesce(unsure, F.lit(False)) | (F.col("_sim") < least + SLACK)).alias("_ask"), F.least("_id", "_n").alias("a"), F.greatest("_id", "_n").alias("b")), "near-pairs")
+    each = written(each.select("_id", "_n", "_rank", F.coalesce(unsure, F.lit(False)).alias("_unsure"), (F.coalesce(unsure, F.lit(False)) | (F.col("_sim") < least + slack)).alias("_ask"), F.least("_id", "_n").alias("a"), F.greatest("_id", "_n").alias("b")), "near-pairs")
     asked = each.filter("_ask").select("a", "b").distinct()
     known = written(exact_pairs(asked, df, record, vector), "exact-pairs")
     each = each.join(known, ["a", "b"], "left").filter(F.col("cosine").isNull() | (F.col("cosine") >= least))
