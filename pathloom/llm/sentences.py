@@ -23,13 +23,14 @@ Defined cases
 
 from __future__ import annotations
 
-import math
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +51,27 @@ THAI_ENDS = ("นะครับ", "นะคะ", "ครับผม", "คร
 
 _FULL = ".!?。！？।॥؟۔｡．…‼⁇⁈⁉"
 _CLOSE = "\"'”’»›)]}」』》〉】〕）］＂“"
-_SMILE = r"(?:(?:[:;=8][-'^o]?[)(\]\[DPp3/\\|*oO]+|</?3+|\^[_.-]?\^|[xX]D+|[\U0001F000-\U0001FAFF☀-➿⭐❤][️‍\U0001F3FB-\U0001F3FF♀♂]*)(?![\p{L}\p{N}&&[A-Za-z0-9]]))"
-_LINE = regex.compile(r"[^\n\r\x0b\x0c\x85  ]+")
-_MARK = regex.compile(r"\s*(?:(?:\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|[-–—•‣◦*·●▪])\s+)", regex.V1)
-_ENDS = regex.compile(r"(?P<mark>\s?[!?؟！？‼⁇⁈⁉](?:\s?[.!?؟！？…‼⁇⁈⁉])*|[.…。।॥۔｡．]+[.!?。！？…]*)(?P<close>[" + regex.escape(_CLOSE) + r"]*)(?P<smile>(?:\s*" + _SMILE + r")*)", regex.V1)
-_THAI = regex.compile(r"(?:" + "|".join(THAI_ENDS) + r")(?=\s)(?P<smile>(?:\s*" + _SMILE + r")*)", regex.V1)
-_ALONE = regex.compile(r"(?:\s+" + _SMILE + r")+(?=\s)", regex.V1)
-_WORD = regex.compile(r"[^\s" + regex.escape("\"'“„«»”‘(（[「『¿¡-–—<") + r"][^\s]*")
-_MODEL = regex.compile(r"[A-Za-z]{2}[ -]?\d")
-_DATE = regex.compile(r"(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])")
-_CAPITALS = regex.compile(r"[A-Z]{2,}\b")
-_STRONG = regex.compile(r"[!?！？。…]+")
+_SMILE = r"(?:(?:[:;=8][-'^o]?[)(\]\[DPp3/\\|*oO]+|</?3+|\^[_.-]?\^|[xX]D+|[\U0001F000-\U0001FAFF☀-➿⭐❤][️‍\U0001F3FB-\U0001F3FF♀♂]*)(?![A-Za-z0-9]))"
+_LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
+_MARK = re.compile(r"\s*(?:(?:\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|[-–—•‣◦*·●▪])\s+)")
+_ENDS = re.compile(r"(?P<mark>\s?[!?؟！？‼⁇⁈⁉](?:\s?[.!?؟！？…‼⁇⁈⁉])*|[.…。।॥۔｡．]+[.!?。！？…]*)(?P<close>[" + re.escape(_CLOSE) + r"]*)(?P<smile>(?:\s*" + _SMILE + r")*)")
+_THAI = re.compile(r"(?:" + "|".join(THAI_ENDS) + r")(?=\s)(?P<smile>(?:\s*" + _SMILE + r")*)")
+_ALONE = re.compile(r"(?:\s+" + _SMILE + r")+(?=\s)")
+_WORD = re.compile(r"[^\s" + re.escape("\"'“„«»”‘(（[「『¿¡-–—<") + r"][^\s]*")
+_MODEL = re.compile(r"[A-Za-z]{2}[ -]?\d")
+_DATE = re.compile(r"(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])")
+_CAPITALS = re.compile(r"[A-Z]{2,}\b")
+_STRONG = re.compile(r"[!?！？。…]+")
+_SOLID = re.compile(r"\S")
+_SPACE = re.compile(r"\s")
+_THAI_CLOSE = re.compile("[รคจ]")
+_SHOWY = re.compile(r"\s[:;=8<^xX\U0001F000-\U0001FAFF☀-➿⭐❤]")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
+_QUOTES = re.compile("[" + re.escape("\"')]}）］」』》】»”“’›" + "".join(_PAIRS)) + "]")
+#: Scores of a span: what a cut through a quotation or bracket costs, and one that a quotation closes inside; a span of one character; beyond so many characters, each.
+CUT, TINY, LONG, BEYOND = 9.0, 4.0, 400, 0.002
+#: Characters that are looked at behind an end and for the word before it.
+NEAR = 80
 
 
 def bucket(word: str) -> int:
@@ -85,9 +95,16 @@ class Lexicon:
 
     opens: np.ndarray
     closes: np.ndarray
+    _seen: dict[str, float] = field(default_factory=dict)
 
     def opening(self, word: str) -> float:
-        return float(self.opens[bucket(word)]) if word else 0.0
+        if not word:
+            return 0.0
+        if (x := self._seen.get(word)) is None:
+            if len(self._seen) > 1_000_000:
+                self._seen.clear()
+            x = self._seen[word] = float(self.opens[bucket(word)])
+        return x
 
     def closing(self, word: str) -> float:
         return float(self.closes[bucket(word)]) if word else 0.0
@@ -95,13 +112,7 @@ class Lexicon:
 
 def word_counts(texts: list[str | None]) -> dict[tuple[int, int], int]:
     """(kind, bucket) -> count; kinds 0 opens a line, 1 stands inside, 2 closes a line, 3 has a period and goes on."""
-    out: dict[tuple[int, int], int] = {}
-
-    def add(kind: int, word: str) -> None:
-        if word:
-            key = (kind, bucket(word))
-            out[key] = out.get(key, 0) + 1
-
+    opens, inside, closes, goes_on = Counter(), Counter(), Counter(), Counter()
     for text in texts:
         for line in _LINE.findall(text or ""):
             m = _MARK.match(line)
@@ -110,15 +121,22 @@ def word_counts(texts: list[str | None]) -> dict[tuple[int, int], int]:
             words = line.split()
             if not words:
                 continue
-            add(0, _first_word(line.lstrip()))
-            cased = line != line.lower() and line != line.upper()
-            for a, b in zip(words, words[1:], strict=False):
-                if a[-1].isalnum() or a[-1] in ",":
-                    add(1, _first_word(b))
-                elif cased and a[-1] == "." and a[-2:-1] not in ("", ".") and b[0].islower():
-                    add(3, a[:-1].lstrip(_CLOSE + "(„«").casefold())
-            if len(words) > 1 and words[-1][-1] == "." and words[-1][-2:-1] not in ("", "."):
-                add(2, words[-1][:-1].lstrip(_CLOSE + "(„«").casefold())
+            opens[line.lstrip()[:64]] += 1
+            inside.update([b for a, b in zip(words, words[1:], strict=False) if a[-1].isalnum() or a[-1] == ","])
+            if "." in line:
+                if line != line.lower() and line != line.upper():
+                    for a, b in zip(words, words[1:], strict=False):
+                        if a[-1] == "." and a[-2:-1] not in ("", ".") and b[0].islower():
+                            goes_on[a] += 1
+                if len(words) > 1 and words[-1][-1] == "." and words[-1][-2:-1] not in ("", "."):
+                    closes[words[-1]] += 1
+    out: dict[tuple[int, int], int] = {}
+    for kind, counts in enumerate((opens, inside, closes, goes_on)):
+        for raw, n in counts.items():
+            word = _first_word(raw) if kind < 2 else raw[:-1].lstrip(_CLOSE + "(„«").casefold()
+            if word:
+                key = (kind, bucket(word))
+                out[key] = out.get(key, 0) + n
     return out
 
 
@@ -141,7 +159,8 @@ def lexicon(df: DataFrame, text: str) -> Lexicon:
 def matched_pairs(line: str) -> list[tuple[int, int]]:
     """(open, close) of quotations and brackets that close on the line."""
     out, stack = [], []
-    for i, c in enumerate(line):
+    for m in _QUOTES.finditer(line):
+        i, c = m.start(), m.group()
         if c in "\"'":
             before, after = line[i - 1 : i], line[i + 1 : i + 2]
             held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
@@ -157,13 +176,15 @@ def matched_pairs(line: str) -> list[tuple[int, int]]:
                 del stack[held:]
             elif c in "“":
                 stack.append((c, i))
-        elif c in _PAIRS:
+        else:
             stack.append((c, i))
     return out
 
 
 def _after_mark(word: str) -> str:
     """What follows the last mark inside a word, where a space is missing after it."""
+    if word.isalpha():
+        return word
     word = _STRONG.split(word)[-1]
     head, dot, tail = word.rpartition(".")
     return tail if dot and len(head) >= 3 and head.isalpha() and (tail in NEVER or tail in BEFORE_NUMBER) else word
@@ -173,8 +194,8 @@ def _is_caseless(c: str) -> bool:
     return c.isalpha() and c.lower() == c.upper()
 
 
-def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lexicon, smile: bool, spaced: bool) -> float:
-    """The score of an end whose mark begins at ``at`` and after which ``after`` goes on."""
+def _closing(line: str, spaces: list[int], mark: str, at: int, after: str, sloppy: bool, words: Lexicon, smile: bool, spaced: bool) -> float:
+    """The score of an end whose mark begins at ``at`` and after which ``after`` goes on; spaces: where the line has them."""
     kind = mark.strip()
     nxt = after[:1]
     opener = _first_word(after)
@@ -196,11 +217,10 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
             return (2.0 if smile else -1.0) + odds
         return 6.0
     # a period
-    start = at
-    while start and not line[start - 1].isspace():
-        start -= 1
+    k = bisect_left(spaces, at)
+    start = spaces[k - 1] + 1 if k else 0
     word = _after_mark(line[start:at].lstrip("\"'“„«»”‘’(（[「『¿¡").casefold())
-    prior = line[:start].rstrip()
+    prior = line[max(0, start - NEAR) : start].rstrip()
     prior = prior[prior.rfind(" ") + 1 :].casefold()
     if not spaced:
         if not nxt.isalpha() or "@" in line[start:at] or len(word) < 2:
@@ -257,6 +277,139 @@ def _closing(line: str, mark: str, at: int, after: str, sloppy: bool, words: Lex
     return 5.0 + 0.5 * odds
 
 
+def _ends_of(line: str, skip: int, pairs: list[tuple[int, int]], words: Lexicon) -> list[tuple[int, float, int]]:
+    """(end, score, open of the quotation it closes or -1) of every place where a sentence could end."""
+    ends: list[tuple[int, float, int]] = []
+    closer = {c: o for o, c in pairs}
+    opener = {o for o, _ in pairs}
+    spaces: list[int] | None = None
+    for e in _ENDS.finditer(line, skip):
+        at, stop = e.span("mark")
+        close = e.group("close")
+        # closing marks that open a quotation belong to what follows
+        took = 0
+        for i, c in enumerate(close):
+            if stop + i in closer or (c in ")]}」』”’»" and stop + i not in opener):
+                took = i + 1
+            else:
+                break
+        whole = took == len(close)
+        end = e.end() if whole else stop + took
+        face = e.group("smile") if whole else ""
+        smile = bool(face)
+        if smile and end == len(line):
+            continue
+        solid = _SOLID.search(line, end)
+        if solid is None:
+            continue
+        after = line[solid.start() : solid.start() + NEAR]
+        spaced = solid.start() > end or (smile and not face.isspace())
+        near = line[max(0, end - 60) : at]
+        if len(near) <= 12:
+            near += line[at : at + 60]
+        low, up = near.lower(), near.upper()
+        sloppy = low != up and (near == low or near == up) and len(near) > 12
+        if sloppy and near == low and after[:1].isupper():
+            sloppy = False
+        if sloppy and near == up and after[:1].isupper() and after[1:2].islower():
+            sloppy = False
+        if spaces is None:
+            spaces = [m.start() for m in _SPACE.finditer(line)]
+        score = _closing(line, spaces, e.group("mark"), at, after, sloppy, words, smile, spaced)
+        opened = -1
+        for i in range(took):
+            opened = max(opened, closer.get(stop + i, -1)) if opened >= 0 else closer.get(stop + i, -1)
+        if opened >= 0:
+            if after[0] in "“„«\"‘「'" or after[0] in ",;:，、；：":
+                score = -8.0
+            elif after[0].islower() and not sloppy:
+                score = min(score, -6.0)
+            elif sloppy or _is_caseless(after[0]):
+                score = min(score, words.opening(_first_word(after)) - 1.0)
+        ends.append((end, score, opened))
+    if _THAI_CLOSE.search(line, skip):
+        for e in _THAI.finditer(line, skip):
+            if _SOLID.search(line, e.end()):
+                ends.append((e.end(), 5.0, -1))
+    if _SHOWY.search(line, skip):
+        taken = {x for x, _, _ in ends}
+        for e in _ALONE.finditer(line, skip):
+            solid = _SOLID.search(line, e.end())
+            if solid and e.end() not in taken and ((c := solid.group()).isupper() or _is_caseless(c) or c in "¿¡“«„\""):
+                ends.append((e.end(), 1.5, -1))
+    ends.sort()
+    return ends
+
+
+class _Best:
+    """Values by rising number; the first greatest one from a number on."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self.value: list[float] = []
+
+    def add(self, i: int, value: float) -> None:
+        while self.value and self.value[-1] < value:
+            self.value.pop()
+            self.at.pop()
+        self.value.append(value)
+        self.at.append(i)
+
+    def since(self, i: int) -> tuple[float, int]:
+        k = bisect_left(self.at, i)
+        return (self.value[k], -self.at[k]) if k < len(self.at) else (-1e18, 0)
+
+
+def best_spans(cuts: list[int], firsts: list[int], score: list[float], quote: list[int]) -> list[int]:
+    """The numbers of the cuts, from 1, that end the spans whose scores add up to most; on ties the longer last span.
+
+    cuts: 0, the ends and the end of the line; firsts: the first character of a
+    span that begins there; score: of an end, with what it cuts through; quote: the
+    quotation that an end closes.  A span's score is that of its end, less what its
+    length costs and, if it closes a quotation that it holds the beginning of, ``CUT``.
+    The starts within ``LONG`` characters and those before are two lists in which
+    the best one from a place on is found by bisection.
+    """
+    n = len(cuts)
+    near, far = _Best(), _Best()  # starts with spans up to LONG characters, and longer ones with their length's cost
+    top: list[tuple[float, int]] = []  # of the longer ones, the best up to each
+    best, back = [0.0] * n, [0] * n
+    passed = 0
+    for j in range(1, n):
+        near.add(j - 1, best[j - 1])
+        while passed < j and cuts[j] - firsts[passed] > LONG:
+            value = best[passed] + BEYOND * firsts[passed]
+            far.add(passed, value)
+            top.append(max(top[-1], (value, -passed)) if top else (value, -passed))
+            passed += 1
+        # starts of spans of a character at most; there are few, as starts are apart
+        tiny = j
+        while tiny > passed and cuts[j] - firsts[tiny - 1] <= 1:
+            tiny -= 1
+        held = bisect_left(firsts, quote[j], 0, j) if quote[j] >= 0 else 0  # starts before it hold the quotation's beginning
+        cost = -BEYOND * (cuts[j] - LONG)
+        found = [(best[i] - TINY - (CUT if i < held else 0.0), -i) for i in range(tiny, j)]
+        if passed < tiny:
+            v, i = near.since(passed) if tiny == j else max(((best[i], -i) for i in range(passed, tiny)), default=(-1e18, 0))
+            found.append((v - (CUT if -i < held else 0.0), i))
+            if passed < held < tiny:
+                v, i = near.since(held) if tiny == j else max((best[i], -i) for i in range(held, tiny))
+                found.append((v, i))
+        if passed:
+            v, i = top[passed - 1]
+            found.append((v + cost - (CUT if -i < held else 0.0), i))
+            if 0 < held < passed:
+                v, i = far.since(held)
+                found.append((v + cost, i))
+        v, i = max(found)
+        best[j], back[j] = v + score[j], -i
+    out, j = [], n - 1
+    while j:
+        out.append(j)
+        j = back[j]
+    return out[::-1]
+
+
 def sentences(text: str, words: Lexicon) -> list[tuple[int, int]]:
     """(first, last) character of every sentence, from 1, without the space around it."""
     out: list[tuple[int, int]] = []
@@ -267,87 +420,27 @@ def sentences(text: str, words: Lexicon) -> list[tuple[int, int]]:
         mark = _MARK.match(line)
         skip = mark.end() if mark is not None and mark.end() < len(line) else 0
         pairs = matched_pairs(line)
-        ends: list[tuple[int, float, int]] = []  # (end, score, open of the quotation it closes or -1)
-        closer = {c: o for o, c in pairs}
-        for e in _ENDS.finditer(line, skip):
-            at, close = e.start("mark"), e.group("close")
-            stop = e.end("mark")
-            # closing marks that open a quotation belong to what follows
-            took = 0
-            for i, c in enumerate(close):
-                if stop + i in closer or (c in ")]}」』”’»" and not any(o == stop + i for o, _ in pairs)):
-                    took = i + 1
-                else:
-                    break
-            whole = took == len(close)
-            end = e.end() if whole else stop + took
-            smile = whole and bool(e.group("smile"))
-            if smile and end == len(line):
-                continue
-            rest = line[end:]
-            after = rest.lstrip()
-            if not after:
-                continue
-            spaced = len(after) < len(rest) or (smile and not e.group("smile").isspace())
-            near = line[max(0, end - 60) : at]
-            if len(near) <= 12:
-                near += line[at : at + 60]
-            sloppy = (near == near.lower() or near == near.upper()) and any(c.isalpha() and not _is_caseless(c) for c in near) and len(near) > 12
-            if sloppy and near == near.lower() and after[:1].isupper():
-                sloppy = False
-            if sloppy and near == near.upper() and after[:1].isupper() and after[1:2].islower():
-                sloppy = False
-            score = _closing(line, e.group("mark"), at, after, sloppy, words, smile, spaced)
-            opened = -1
-            for i in range(took):
-                opened = max(opened, closer.get(stop + i, -1)) if opened >= 0 else closer.get(stop + i, -1)
-            if opened >= 0:
-                if after[0] in "“„«\"‘「'" or after[0] in ",;:，、；：":
-                    score = -8.0
-                elif after[0].islower() and not sloppy:
-                    score = min(score, -6.0)
-                elif sloppy or _is_caseless(after[0]):
-                    score = min(score, words.opening(_first_word(after)) - 1.0)
-            ends.append((end, score, opened))
-        for e in _THAI.finditer(line, skip):
-            if line[e.end() :].strip():
-                ends.append((e.end(), 5.0, -1))
-        taken = {x for x, _, _ in ends}
-        for e in _ALONE.finditer(line, skip):
-            after = line[e.end() :].lstrip()
-            if after and e.end() not in taken and (after[0].isupper() or _is_caseless(after[0]) or after[0] in "¿¡“«„\""):
-                ends.append((e.end(), 1.5, -1))
-        ends.sort()
+        ends = _ends_of(line, skip, pairs, words)
         cuts = [0, *(x for x, _, _ in ends), len(line)]
-        score = [0.0, *(s for _, s, _ in ends), 0.0]
-        quote = [-1, *(q for _, _, q in ends), -1]
-        crossed = [0] * len(cuts)
-        for k in range(1, len(cuts) - 1):
-            crossed[k] = sum(1 for o, c in pairs if o < cuts[k] <= c)
-        firsts = [len(line[:c]) + len(line[c:]) - len(line[c:].lstrip()) for c in cuts]
-        best, back = [0.0] + [-math.inf] * (len(cuts) - 1), [0] * len(cuts)
-        for j in range(1, len(cuts)):
-            for i in range(j):
-                s = best[i] + score[j] - 9.0 * crossed[j]
-                if quote[j] >= 0 and quote[j] > firsts[i]:
-                    s -= 9.0
-                size = cuts[j] - firsts[i]
-                if size <= 1:
-                    s -= 4.0
-                elif size > 400:
-                    s -= 0.002 * (size - 400)
-                if s > best[j]:
-                    best[j], back[j] = s, i
-        spans, j = [], len(cuts) - 1
-        while j:
-            spans.append((cuts[back[j]], cuts[j]))
-            j = back[j]
-        for x, y in reversed(spans):
-            part = line[x:y]
-            a = x + len(part) - len(part.lstrip())
-            b = x + len(part.rstrip())
-            if b > a:
-                out.append((base + a + 1, base + b))
+        firsts = [f.start() if (f := _SOLID.search(line, c)) else len(line) for c in cuts]
+        ended = [k for k in range(1, len(cuts) - 1) if ends[k - 1][1] > 0] + [len(cuts) - 1]
+        plain = not pairs and all(1 < cuts[b] - firsts[a] <= LONG for a, b in zip([0, *ended], ended, strict=False))
+        if not plain:  # else every good end is one, as no span costs anything
+            crossed = [0] * (len(cuts) + 1)
+            for o, c in pairs:
+                crossed[bisect_right(cuts, o)] += 1
+                crossed[bisect_right(cuts, c)] -= 1
+            score, deep = [0.0] * len(cuts), crossed[0]
+            for k in range(1, len(cuts) - 1):
+                deep += crossed[k]
+                score[k] = ends[k - 1][1] - CUT * deep
+            ended = best_spans(cuts, firsts, score, [-1, *(q for _, _, q in ends), -1])
+        for a, b in zip([0, *ended], ended, strict=False):
+            last = cuts[b]
+            while last > firsts[a] and line[last - 1].isspace():
+                last -= 1
+            if last > firsts[a]:
+                out.append((base + firsts[a] + 1, base + last))
     return out
 
 
