@@ -230,25 +230,32 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
     kind = base.schema["_record"].dataType.simpleString()
 
     def named(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()  # of copies on one task only the first of a side goes on
         for b in batches(rows):
             flat = token_batch(b.column(3))
             values, at = flat.hashes[flat.codes], flat.starts.tolist()
             names = [xxhash.xxh3_128_digest(values[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.binary()), pa.array(pack(flat), pa.binary()), pa.array(flat.lengths, pa.int32())], names=["_record", "_side", "_source", "_name", "_packed", "_n"])
-
-    texts = written(base.mapInArrow(named, f"_record {kind}, _side string, _source string, _name binary, _packed binary, _n int"), "texts")
+            first = []
+            for key in zip(b.column(1).to_pylist(), names, strict=True):
+                first.append(key not in seen)
+                seen.add(key)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.binary()), pa.array(pack(flat), pa.binary()), pa.array(flat.lengths, pa.int32()), pa.array(first)], names=["_record", "_side", "_source", "_name", "_packed", "_n", "_first"])
+
+    texts = written(base.mapInArrow(named, f"_record {kind}, _side string, _source string, _name binary, _packed binary, _n int, _first boolean"), "texts")
     is_train = F.col("_side").isin(*train)
 
     def band(n: Column) -> Column:
         return F.floor(F.log(F.greatest(n, F.lit(least)) / F.lit(float(max(1, least)))) / F.lit(math.log(BAND))).cast("int")
 
-    evals = texts.filter(~is_train).select("_name", "_packed", "_n").dropDuplicates(["_name"])
+    evals = texts.filter(~is_train & F.col("_first")).select("_name", "_packed", "_n").dropDuplicates(["_name"])
     reach = F.sequence(band(F.ceil(F.col("_n") * (1 - share))), band(F.floor(F.col("_n") / (1 - share)) + 1))
     evals = written(evals, "eval-texts").select("_name", "_packed", "_n", F.explode(reach).alias("band"))
     pieces = F.floor(F.floor(F.col("_n") / (1 - share) + 1e-9) * share + 1e-9) + 1
     # one row per band of length: a few dozen
     shards = {r["band"]: max(1, -(-int(r["n"]) // passages)) for r in evals.groupBy("band").agg(F.sum(pieces).alias("n")).collect()}
-    trains = texts.filter(is_train).select("_name", "_packed", "_n", band(F.col("_n")).alias("_band"))
+    trains = texts.filter(is_train & F.col("_first")).select("_name", "_packed", "_n", band(F.col("_n")).alias("_band"))
     slices = {r["_band"]: 1 + int(r["n"]) // SLICE_TOKENS for r in trains.groupBy("_band").agg(F.sum("_n").alias("n")).collect() if r["_band"] in shards}
 
     def of_band(column: str, counts: dict[int, int]) -> Column:
@@ -260,7 +267,12 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
         return empty, texts.select("_record", "_side", "_source", "_name")
     folders = write_shared(evals.select("_name", "_packed", "band", of_band("band", shards).alias("shard")).repartition(len(shards), "band", "shard"), "eval-bands", ["band", "shard"])
 
+    # every slice of a band is a task of its own
+    first_slice = dict(zip(slices, np.cumsum([0, *slices.values()]).tolist(), strict=False))
+
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # copies meet in one slice: the first of them is scanned
+
         def through(band: int, names: list[bytes], held: list[bytes]) -> Iterator[pa.RecordBatch]:
             texts = [unpack(x) for x in held]
             counts = token_counts(texts)
@@ -274,6 +286,9 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
         size: dict[int, int] = {}
         for b in rows:
             for band, name, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name in seen:
+                    continue
+                seen.add(name)
                 names, texts = held.setdefault(band, ([], []))
                 names.append(name)
                 texts.append(packed)
@@ -284,10 +299,9 @@ def near_copies(df: DataFrame, side: Column, source: Column, record: str = "path
         for band in sorted(held):
             yield from through(band, *held[band])
 
-    # one shuffle: copies meet in one slice of their band, where the first of them stays
-    dealt = trains.filter(F.col("_band").isin(*slices)).withColumn("_slice", of_band("_band", slices)).repartition(sum(slices.values()), "_band", "_slice")
-    one = dealt.groupBy("_band", "_slice", "_name").agg(F.first("_packed").alias("_packed"))
-    classes = one.select("_band", "_name", "_packed").mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in first_slice.items() for x in kv)), F.col("_band"))
+    dealt = trains.filter(F.col("_band").isin(*slices)).withColumn("_to", (offset + of_band("_band", slices)).cast("int")).repartitionById(sum(slices.values()), "_to")
+    classes = dealt.select("_band", "_name", "_packed").mapInArrow(scan, "_name binary, _near binary, _distance long, _covered long")
     return written(classes, "near-copies"), texts.select("_record", "_side", "_source", "_name")
 
 
