@@ -9,8 +9,10 @@ equal span around it, and a pair leaks if that reaches the wanted length.
 
 Scale.  The fingerprints of the training side that no evaluation text has are
 dropped where they are made, by a Bloom filter of the evaluation fingerprints;
-its size is bounded by parameter however many there are, and it loses none.  The hits are joined with the evaluation texts by key, training
-texts travel with their hits only.
+its size is bounded by parameter however many there are, and it loses none.  The
+evaluation fingerprints go to every task if they are counted to be few, so that a
+passage that very many training texts hold is no hot key; more are joined.
+Training texts travel with their hits only.
 
 Defined cases
     null texts, null ids: no hits; texts shorter than the span: no hits;
@@ -27,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +94,11 @@ def extend(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, k: int) -> int:
     return k + int(back[0] if len(back) else n) + int(on[0] if len(on) else m)
 
 
-def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc_id", doc_text: str = "text", item: str = "eval_id", item_text: str = "text", spans: tuple[tuple[int, int], ...] = SPANS, filter_bits: int = MOST_BITS) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc_id", doc_text: str = "text", item: str = "eval_id", item_text: str = "text", spans: tuple[tuple[int, int], ...] = SPANS, filter_bits: int = MOST_BITS, most_sent: int = 1_000_000) -> DataFrame:
     """``doc``, ``item``, ``longest`` shared span, of all pairs that share one of the wanted length.
 
     spans: (length, k) for items in general and for those where ``short_span`` (a
-    condition on ``evals``) holds.
+    condition on ``evals``) holds; most_sent: so many evaluation fingerprints go to all tasks.
     """
     kinds = evals.select(F.col(item).alias("_key"), F.coalesce(short_span, F.lit(False)).cast("int").alias("_kind")).groupBy("_key").agg(F.max("_kind").alias("_kind"))
     items = written(normalised(evals, item, item_text).join(kinds, "_key").select("_key", "_kind", "_text").distinct(), "items")
@@ -118,27 +121,35 @@ def leaks(docs: DataFrame, evals: DataFrame, short_span: Column, doc: str = "doc
         flags = np.frombuffer(known, np.uint8)
         for b in source:
             texts = ["" if t is None else letters_and_digits(t) for t in b.column(1).to_pylist()]
-            hits: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+            row, kind, at, print_ = [], [], [], []
             for x, (span, k) in enumerate(spans):
                 for first, part in _parts(texts):
                     of, place, h = fingerprints(part, span, k)
                     seen = passes(flags, h)
-                    for o, p, v in zip(of[seen].tolist(), place[seen].tolist(), h[seen].view(np.int64).tolist(), strict=True):
-                        hits[first + o].append((x, p, v))
-            rows = [i for i, found in enumerate(hits) if found]
-            keys = b.column(0).take(pa.array(rows, pa.int64()))
-            lists = pa.array([[{"x": x, "p": p, "v": v} for x, p, v in hits[i]] for i in rows], pa.list_(pa.struct([("x", pa.int32()), ("p", pa.int32()), ("v", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([texts[i] for i in rows], pa.string()), lists], names=["_doc", "_doc_text", "_hits"])
+                    row.append(first + of[seen])
+                    kind.append(np.full(int(seen.sum()), x))
+                    at.append(place[seen])
+                    print_.append(h[seen].view(np.int64))
+            if not row:
+                continue
+            row, kind, at, print_ = (np.concatenate(c) for c in (row, kind, at, print_))
+            order = np.argsort(row, kind="stable")
+            rows, first = np.unique(row[order], return_index=True)
+            hit = pa.StructArray.from_arrays([pa.array(kind[order], pa.int32()), pa.array(at[order], pa.int32()), pa.array(print_[order], pa.int64())], names=["x", "p", "v"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), hit)
+            names = b.column(0).take(pa.array(rows, pa.int64()))
+            keys = [xxhash.xxh3_128_digest(repr(n).encode() + b"/" + texts[i].encode("utf-8", "surrogatepass")) for n, i in zip(names.to_pylist(), rows.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([names, pa.array([texts[i] for i in rows.tolist()], pa.string()), lists, pa.array(keys, pa.binary())], names=["_doc", "_doc_text", "_hits", "_text_key"])
 
     base = docs.select(F.col(doc).alias("_doc"), F.col(doc_text).alias("_doc_text")).filter("_doc IS NOT NULL AND _doc_text IS NOT NULL")
     kind_of_doc = base.schema["_doc"].dataType.simpleString()
-    found = written(spread(base).mapInArrow(doc_prints, f"_doc {kind_of_doc}, _doc_text string, _hits array<struct<x:int,p:int,v:long>>"), "doc-hits")
-    hits = found.select(F.xxhash64("_doc", "_doc_text").alias("_text_key"), F.explode("_hits").alias("_h"))
-    hits = hits.select("_text_key", F.col("_h.x").alias("_kind"), F.col("_h.p").alias("_doc_at"), F.col("_h.v").alias("_hash")).distinct()
-    pairs = hits.join(prints, ["_kind", "_hash"])
+    found = written(spread(base).mapInArrow(doc_prints, f"_doc {kind_of_doc}, _doc_text string, _hits array<struct<x:int,p:int,v:long>>, _text_key binary"), "doc-hits")
+    hits = found.select("_text_key", F.explode("_hits").alias("_h"))
+    hits = hits.select("_text_key", F.col("_h.x").alias("_kind"), F.col("_h.p").alias("_doc_at"), F.col("_h.v").alias("_hash"))
+    pairs = hits.join(F.broadcast(prints) if prints.count() <= most_sent else prints, ["_kind", "_hash"])
     # one hit per text, item and diagonal is enough: the extension finds the same span
     pairs = pairs.groupBy("_text_key", "_item", "_kind", (F.col("_doc_at") - F.col("_item_at")).alias("_diagonal")).agg(F.collect_set(F.struct("_doc_at", "_item_at")).alias("_places"))
-    texts = found.select(F.xxhash64("_doc", "_doc_text").alias("_text_key"), "_doc", "_doc_text").dropDuplicates(["_text_key"])
+    texts = found.select("_text_key", "_doc", "_doc_text").dropDuplicates(["_text_key"])
     both = pairs.join(texts, "_text_key").join(items.select(F.col("_key").alias("_item"), F.col("_text").alias("_item_text")), "_item")
 
     def extended(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

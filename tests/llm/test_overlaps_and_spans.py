@@ -1,5 +1,7 @@
 """Near copies across splits, shared spans, leaks: against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -188,3 +190,41 @@ def test_leaks(spark):
 
 def test_normalisation():
     assert leakage.letters_and_digits("Ｆｕ̈ß ①  x_y!") == "füss1xy"
+
+
+def test_a_filter_that_is_too_small_is_replaced_by_a_join(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 60))] + (common if i % 3 == 0 else []) + [f"w{rng.randrange(40)}" for _ in range(9)], i // 2) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:4], "path_id long, tokens array<string>, f long")
+    want = {(r.a, r.b) for r in shared_spans.shared_pairs(df, "path_id", "tokens", F.col("f"), 20).collect()}
+    assert want == {(a, b) for a in range(0, 60, 3) for b in range(a + 1, 60) if b % 3 == 0 and a // 2 != b // 2}
+    got = {(r.a, r.b) for r in shared_spans.shared_pairs(df, "path_id", "tokens", F.col("f"), 20, filter_bits=64).collect()}
+    assert got == want
+    shares = [{r.path_id: r.shared_tokens for r in shared_spans.shared_share(df, "path_id", "tokens", F.col("f"), 20, filter_bits=b).collect()} for b in (64, 1 << 20)]
+    assert shares[0] == shares[1] and {k for k, v in shares[0].items() if v} == set(range(0, 60, 3)) and min(v for v in shares[0].values() if v) >= 30
+
+
+def test_bloom_filter_loses_none_and_lets_few_through(spark):
+    rng = np.random.default_rng(0)
+    inside, outside = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 20000)
+    df = spark.createDataFrame([(int(x),) for x in inside], "h long")
+    packed = np.frombuffer(bloom.bloom_filter(df, "h"), np.uint8)
+    assert bloom.passes(packed, inside).all() and bloom.passes(packed, outside).mean() < 0.02
+    assert np.unpackbits(packed[: len(packed) // 2]).mean() == pytest.approx(np.unpackbits(packed[len(packed) // 2 :]).mean(), rel=0.1)
+
+
+def test_one_hot_text_span_and_passage(spark):
+    # half of all rows hold one text, one span or one passage
+    text = [f"t{i}" for i in range(70)]
+    rows = [(i, "s", ["train", "val"][i % 2] if i < 200 else "train", text if i % 4 < 2 else [f"u{i}_{j}" for j in range(70)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "path_id long, file string, split string, tokens array<string>")
+    got = overlap.near_copy_pairs(df, F.col("split"), F.col("file")).count()
+    trains, evals = sum(1 for r in rows if r[2] == "train" and r[3] is text), sum(1 for r in rows if r[2] == "val" and r[3] is text)
+    assert got == trains * evals
+    members = shared_spans.span_members(shared_spans.repeated_edges(df, "path_id", "tokens", F.col("path_id")))
+    assert members.count() == sum(1 for r in rows if r[3] is text)  # one nonbranching path, one row a record
+    docs = spark.createDataFrame([(i, ("x" * i if i % 2 else "the quick brown fox jumps over the lazy dog and runs far away from here") + f" tail {i}") for i in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "once the quick brown fox jumps over the lazy dog and runs far away from here again", "en")], "eval_id long, text string, lang string")
+    for bound in (0, 1_000_000):
+        assert leakage.leaks(docs, items, F.lit(False), most_sent=bound).count() == 200
