@@ -46,6 +46,7 @@ NEVER = frozenset(
 )
 BEFORE_NUMBER = frozenset("no nr nos p pp pg s fig figs vol vols ver sec sect ext ch chap art pág págs núm núms jan feb mar apr jun jul aug sep sept oct nov dec bj abb kap bd tel h para ص รุ่น".split())
 SOMETIMES = frozenset("in ft lb lbs oz min sec hrs co ltd inc corp bros llc plc gmbh a.m p.m am pm u.k u.s u.s.a s.a s.l etc usw l cm mm kg km g ml dept esp max bzw uvm z.zt s.l.u cie".split())
+_SHORT = NEVER | BEFORE_NUMBER | SOMETIMES
 MONTHS_AND_FLOORS = frozenset("januar februar märz april mai juni juli august september oktober november dezember stock etage jahrhundert januar. geburtstag klasse".split())
 THAI_ENDS = ("นะครับ", "นะคะ", "ครับผม", "ครับ", "ค่ะ", "คะ", "จ้ะ", "จ้า")
 
@@ -96,6 +97,7 @@ class Lexicon:
     opens: np.ndarray
     closes: np.ndarray
     _seen: dict[str, float] = field(default_factory=dict)
+    _texts: dict[str, float] = field(default_factory=dict)
 
     def opening(self, word: str) -> float:
         if not word:
@@ -106,6 +108,14 @@ class Lexicon:
             x = self._seen[word] = float(self.opens[bucket(word)])
         return x
 
+    def opening_text(self, text: str) -> float:
+        """``opening`` of the first word of a text, looked up by the text."""
+        if (x := self._texts.get(text)) is None:
+            if len(self._texts) > 1_000_000:
+                self._texts.clear()
+            x = self._texts[text] = self.opening(_first_word(text))
+        return x
+
     def closing(self, word: str) -> float:
         return float(self.closes[bucket(word)]) if word else 0.0
 
@@ -284,7 +294,27 @@ def _ends_of(line: str, skip: int, pairs: list[tuple[int, int]], words: Lexicon)
     opener = {o for o, _ in pairs}
     spaces: list[int] | None = None
     for e in _ENDS.finditer(line, skip):
-        at, stop = e.span("mark")
+        (_, end), (at, stop) = e.regs[:2]
+        if stop == at + 1 and end == stop:
+            # the plain cases at once, with the scores that _closing gives them
+            c = line[at]
+            if c in "。！？।॥؟۔":
+                if _SOLID.search(line, end):
+                    ends.append((end, 6.0, -1))
+                continue
+            if line[end : end + 1] == " " and line[end + 1 : end + 2].isupper() and line[end + 2 : end + 3].islower():
+                if c in "!?":
+                    ends.append((end, 6.0, -1))
+                    continue
+                if c == ".":
+                    if spaces is None:
+                        spaces = [m.start() for m in _SPACE.finditer(line)]
+                    k = bisect_left(spaces, at)
+                    word = line[spaces[k - 1] + 1 if k else 0 : at]
+                    if len(word) > 2 and word.isalpha() and word.casefold() not in _SHORT:
+                        stop = spaces[k + 1] if k + 1 < len(spaces) else len(line)
+                        ends.append((end, 5.0 + 0.25 * words.opening_text(line[end + 1 : min(stop, end + 65)]), -1))
+                        continue
         close = e.group("close")
         # closing marks that open a quotation belong to what follows
         took = 0
