@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from ..sources.tables import table
 from . import chunking, event_runs, grouped_split, leakage, nearest, overlap, packing, path_keys, sentences, shared_spans, term_frequency
 
@@ -43,8 +44,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_balance(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and groups per split."""
-    return p2_split(spark, d).groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("group_key").alias("groups"))
+    """Per split and stratum: records, their share of the stratum, and how far it is from what the split should have."""
+    c = F.col
+    strata = table(spark, d, "binary_records").select("record_id", grouped_split.build_stratum(c("compiler"), c("opt")).alias("stratum"))
+    counts = p2_split(spark, d).join(strata, "record_id").groupBy("stratum", "split").agg(F.count("*").alias("records"))
+    wanted = F.when(c("split") == "train", 0.8).otherwise(0.1)
+    share = c("records") / F.sum("records").over(Window.partitionBy("stratum"))
+    return counts.select("split", "stratum", "records", F.round(share, 6).alias("share"), F.round(share - wanted, 6).alias("deviation"))
+
+
+def p2_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per group: its records, and in how many splits they are."""
+    return p2_split(spark, d).filter("group_key IS NOT NULL").groupBy("group_key").agg(F.count("*").alias("records"), F.countDistinct("split").alias("splits"))
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +126,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """One row: texts in containers, containers over their capacity, texts divided that need not be, pieces missing or there twice."""
+    packed = written(p8_containers(spark, d), "packed")
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).filter("n > 2048").agg(F.count("*")).scalar()
+    texts = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece").alias("distinct"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"))
+    divided, wrong = F.count_if((F.col("n") <= 2048) & (F.col("pieces") > 1)), F.count_if((F.col("pieces") != F.col("last")) | (F.col("distinct") != F.col("last")) | (F.col("last") != F.ceil(F.col("n") / 2048)))
+    return texts.agg(F.count("*").alias("texts"), divided.alias("divided"), wrong.alias("wrong_pieces")).withColumn("over_full", over)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     short = F.lower(F.btrim(F.col("lang"))).isin("zh", "ja")
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), short)
@@ -139,4 +159,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p8_containers, p8_fill, p9_leaks, p9_found, p10_sentences, p10_found)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_split, p2_found, p2_balance, p2_whole, p3_neighbours, p3_found, p4_found, p4_overlap, p5_runs, p5_found, p6_pieces, p6_found, p7_found, p7_share, p8_containers, p8_fill, p8_rules, p9_leaks, p9_found, p10_sentences, p10_found)}
