@@ -35,6 +35,8 @@ from .components import connected_components
 _BLANK = " \t\n\r\x0b\x0c"
 SPLITS = ("train", "validation", "test")
 HEAVY, BLOCK = 2_000, 4_096
+#: Steps of a chain for each of its groups, at least.
+STEPS = 12
 
 
 def written_alike(name: Column) -> Column:
@@ -68,8 +70,9 @@ def anneal(counts: np.ndarray, target: np.ndarray, state: np.ndarray, seed: int,
     off = -target.copy()
     np.add.at(off, state, counts)
     cost = float((off * off * weight).sum())
-    best, least = state.copy(), cost
+    least = cost
     if n < 2:
+        best = state.copy()
         for s in range(k):
             trial = -target.copy()
             np.add.at(trial, np.full(n, s), counts)
@@ -77,6 +80,7 @@ def anneal(counts: np.ndarray, target: np.ndarray, state: np.ndarray, seed: int,
                 best, least = np.full(n, s, state.dtype), c
         return best, least
     heat, cool = max(cost, 1e-6) * 0.2, (1e-5) ** (1.0 / max(1, steps))
+    since: list[tuple[int, int]] = []  # groups and their splits before, of the steps since the best state
     pick, other, odds = rng.integers(0, n, (steps, 2)), rng.integers(1, k, steps), rng.random((steps, 2))
     for t in range(steps):
         i, j = pick[t]
@@ -93,13 +97,18 @@ def anneal(counts: np.ndarray, target: np.ndarray, state: np.ndarray, seed: int,
             off[a] = was - shift
             off[b] = now + shift
             state[i] = b
+            since.append((i, a))
             if j >= 0:
                 state[j] = a
+                since.append((j, b))
             cost += change
             if cost < least - 1e-15:
-                best, least = state.copy(), cost
+                least = cost
+                since.clear()
         heat *= cool
-    return best, least
+    for i, before in reversed(since):
+        state[i] = before
+    return state, least
 
 
 def _chain(goal: list[list[float]], shares: list[float], chains: int, steps: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -116,7 +125,7 @@ def _chain(goal: list[list[float]], shares: list[float], chains: int, steps: int
         target = np.array(goal) * counts.sum(0)
         drawn = pd.util.hash_array(np.array([f"{seed}/{chain}/{g}" for g in rows["group_key"]], dtype=object)) / 2.0**64
         state = np.minimum(np.searchsorted(np.cumsum(shares), drawn, side="right"), len(shares) - 1)
-        best, cost = anneal(counts, target, state, seed + 7919 * block + chain, steps)
+        best, cost = anneal(counts, target, state, seed + 7919 * block + chain, max(steps, STEPS * len(rows)))
         return pd.DataFrame({"_block": [block], "_cost": [cost], "_chain": [chain], "_keys": [rows["group_key"].tolist()], "_splits": [best.tolist()]})
 
     return run
