@@ -117,7 +117,10 @@ def edge_color(jump: Column) -> Column:
 
 
 def token_color(token: Column) -> Column:
-    """The fixed colour of a token, or one in the hue of its category, varied by its MD5 hash."""
+    """The fixed colour of a token, or one in the hue of its category, varied by its MD5 hash.
+
+    The arithmetic is fixed: it must give the same colours wherever the tokens are drawn.
+    """
     category = categorize(token)
     h = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
     base = F.try_element_at(F.create_map(*(F.lit(x) for kv in BASE_HUES.items() for x in kv)), category)
@@ -150,6 +153,12 @@ def canon_stmt(tag: Column, data_tag: Column, op: Column) -> Column:
     return F.when(tag.isNull() | (tag == "Ist_IMark"), F.lit(None).cast("string")).when(tag == "Ist_WrTmp", canon_op(data_tag, op)).otherwise(other)
 
 
+def canon_block(statements: Column, lifted: Column) -> Column:
+    """The tokens of a block's statements (tag, data_tag, op), in order; one token of its own where lifting failed."""
+    tokens = F.transform(statements, lambda s: canon_stmt(s["tag"], s["data_tag"], s["op"]))
+    return F.when(lifted, F.filter(tokens, lambda t: t.isNotNull())).otherwise(F.array(F.lit("<UNLIFTABLE>")))
+
+
 def canon_api(name: Column, kind: Column) -> Column:
     """``<API_NAME>`` of a library function, ``<SYSCALL_NAME>`` of a system call, else null."""
     api = F.concat(F.lit("<API_"), F.upper(F.substring_index(name, "@", 1)), F.lit(">"))

@@ -8,6 +8,7 @@ results the same on every run.
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import pandas as pd
@@ -99,21 +100,21 @@ def topological(edges: DataFrame, entry: str) -> DataFrame:
                 waits[t] += 1
         ready, order = sorted(n for n, w in waits.items() if not w), []
         while ready:
-            n = ready.pop(0)
+            n = heapq.heappop(ready)
             order.append(n)
             for t in graph[n]:
                 waits[t] -= 1
                 if not waits[t]:
-                    ready = sorted([*ready, t])
+                    heapq.heappush(ready, t)
         cyclic = len(order) < len(graph)
         if cyclic:
-            order, queue = [], deque([_start(graph, entry)])
+            seen, queue = {}, deque([_start(graph, entry)])
             while queue:
                 n = queue.popleft()
-                if n not in order:
-                    order.append(n)
+                if n not in seen:
+                    seen[n] = None
                     queue.extend(graph[n])
-            order += [n for n in graph if n not in order]
+            order = [*seen, *(n for n in graph if n not in seen)]
         return pd.DataFrame({"func": rows["func"].iloc[0], "node": order, "place": range(len(order)), "cyclic": cyclic})
 
     kind = edges.schema["func"].dataType.simpleString()

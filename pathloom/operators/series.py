@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +12,22 @@ from pyspark.sql import functions as F
 def ema(df: DataFrame, order: str, value: str, alpha: float = 0.85) -> DataFrame:
     """``order``, ``value``, ``smooth``: the first value, then alpha times the smoothed one before plus 1 - alpha times the value.
 
-    A recurrence has no parallel form that keeps its rounding, so a series is
-    folded as one array; a log has one row per epoch.
+    A recurrence has no parallel form that keeps its rounding, so a series goes
+    through one task in order, a batch at a time; a log has one row per epoch.
     """
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    one = df.agg(arr.alias("a"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):  # noqa: ANN001, ANN202
-        now = F.when(acc["last"].isNull(), x["v"]).otherwise(alpha * acc["last"] + (1 - alpha) * x["v"])
-        return F.struct(now.alias("last"), F.array_append(acc["out"], now).alias("out"))
-
-    folded = one.select("a", F.aggregate("a", start, step, lambda acc: acc["out"]).alias("s"))
-    return folded.select(F.explode(F.arrays_zip("a", "s")).alias("z")).select(F.col("z.a.o").alias(order), F.col("z.a.v").alias(value), F.col("z.s").alias("smooth"))
+    kinds = df.select(order, value)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in source:
+            smooth = []
+            for v in b.column(1).to_pylist():
+                last = v if last is None else None if v is None else alpha * last + (1 - alpha) * v
+                smooth.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(smooth, pa.float64())], names=[order, value, "smooth"])
+
+    ordered = kinds.withColumn(value, F.col(value).cast("double")).repartition(1).sortWithinPartitions(order)
+    return ordered.mapInArrow(run, f"{order} {df.schema[order].dataType.simpleString()}, {value} double, smooth double")
 
 
 def deltas(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -19,17 +19,17 @@ from ..sources.shared import written
 ROWS, QUERIES = 4096, 1024
 
 
-def block_products(df: DataFrame, key: str, group: str, vector: str, query: Column, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def block_products(df: DataFrame, key: str, group: str, vector: str, query: Column, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, extra: tuple[str, ...] = (), among: Column | None = None) -> DataFrame:
     """``reduce(queries, rows, dots, norms)`` of every pair of blocks.
 
     queries, rows: frames of _k and _g; dots: their inner products, shorter
     vectors filled with zeros; norms: a list of the two sides' lengths; extra: columns
-    that the queries bring along.
+    that the queries bring along; among: the rows they are compared with, all without it.
     """
-    base = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(vector).cast("array<float>").alias("_v"), query.alias("_q"), *extra).filter("_v IS NOT NULL AND _k IS NOT NULL")
+    base = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(vector).cast("array<float>").alias("_v"), query.alias("_q"), (F.lit(True) if among is None else among).alias("_r"), *extra).filter("_v IS NOT NULL AND _k IS NOT NULL")
     n = base.agg(F.count("*").alias("n"), F.count_if("_q").alias("q")).first()
     rows_in, queries_in = max(1, -(-n["n"] // ROWS)), max(1, -(-n["q"] // QUERIES))
-    rows = base.select("_k", "_g", "_v", F.pmod(F.xxhash64("_k"), F.lit(rows_in)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("_c"))
+    rows = base.filter("_r").select("_k", "_g", "_v", F.pmod(F.xxhash64("_k"), F.lit(rows_in)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("_c"))
     asked = base.filter("_q").select(F.col("_k").alias("_ka"), F.col("_g").alias("_ga"), F.col("_v").alias("_va"), F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1)).cast("array<bigint>")).alias("_ba"), F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(queries_in)).cast("int").alias("_ca"), *extra)
 
     def matrix(values: pd.Series, width: int) -> np.ndarray:
@@ -86,7 +86,7 @@ def similarity_stats(df: DataFrame, key: str, group: str, vector: str, query: Co
     return parts.groupBy("is_positive").agg(n.alias("n"), F.round(s / n, 6).alias("mean"), F.round(std, 6).alias("std"), F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"))
 
 
-def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column | None = None) -> DataFrame:
+def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column | None = None, among: Column | None = None) -> DataFrame:
     """``f1`` (of queries, or of all rows without ``query``), ``f2``: the least distance, at most 1, and the greatest inner product, at least 0, of their vectors; rows without a group take no part."""
     df, query = df.filter(F.col(group).isNotNull()), F.lit(True) if query is None else query
 
@@ -102,7 +102,7 @@ def linkage(df: DataFrame, key: str, group: str, vector: str, query: Column | No
         return pd.DataFrame({"f1": np.repeat(ga[x], len(y)), "f2": np.tile(gb[y], len(x)), "d": d.ravel(), "p": p.ravel()})
 
     kind = df.schema[group].dataType.simpleString()
-    parts = block_products(df, key, group, vector, query, closest, f"f1 {kind}, f2 {kind}, d double, p double")
+    parts = block_products(df, key, group, vector, query, closest, f"f1 {kind}, f2 {kind}, d double, p double", among=among)
     return parts.groupBy("f1", "f2").agg(F.round(F.least(F.lit(1.0), F.min("d")), 5).alias("distance"), F.round(F.greatest(F.lit(0.0), F.max("p")), 5).alias("inner_product"))
 
 

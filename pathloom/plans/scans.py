@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import joined
@@ -13,6 +13,14 @@ from .registry import query
 from .views_sql import CORPUS
 
 
+def _spelled(spark: SparkSession, d: str, column: str, name: Column, most: int = 1000) -> tuple[str | None, Column]:
+    """The least ``name`` of paths, and a condition on ``column`` as stored that the scan can prune by: its spellings, if they are ``most`` at most."""
+    names = table(spark, d, "paths").select(F.col(column).alias("raw"), name.alias("name")).distinct()
+    first = names.agg(F.min("name")).first()[0]
+    raw = [r[0] for r in names.filter(F.col("name") == first).select("raw").limit(most + 1).collect()]
+    return first, F.col(column).isin(raw) if len(raw) <= most else F.lit(True)
+
+
 @query(f"WITH {CORPUS} SELECT path_id, file, func_addr, len(tokens) AS n_tokens FROM corpus")
 def scan_paths(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d, "cast(size(tokens) as bigint) AS n_tokens")
@@ -31,8 +39,8 @@ def tolerant_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS} SELECT path_id, func_addr, len(tokens) AS n_tokens FROM corpus WHERE file = (SELECT min(file) FROM corpus)")
 def scan_one_file(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d, "cast(size(tokens) as bigint) AS n_tokens")
-    first = r.agg(F.min("file")).scalar()
+    first, only = _spelled(spark, d, "file_name", F.btrim(F.substring_index("file_name", "/", -1), F.lit(" \t\n\r")))
+    r = records(spark, d, "cast(size(tokens) as bigint) AS n_tokens", only=only)
     return r.filter(F.col("file") == first).select("path_id", "func_addr", "n_tokens")
 
 
@@ -96,8 +104,10 @@ def func_kind_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CORPUS} SELECT path_id, file, len(tokens) AS n_tokens FROM corpus WHERE func_addr = (SELECT min(func_addr) FROM corpus) ORDER BY path_id LIMIT 12")
 def paths_for_func(spark: SparkSession, d: str) -> DataFrame:
     """The first 12 paths of one function, as a display takes them."""
-    r = records(spark, d, "cast(size(tokens) as bigint) AS n_tokens")
-    return r.filter(F.col("func_addr") == r.agg(F.min("func_addr")).scalar()).orderBy("path_id").limit(12).select("path_id", "file", "n_tokens")
+    at = F.concat(F.lit("0x"), F.ltrim(F.regexp_replace(F.lower(F.btrim("func_addr", F.lit(" \t\n\r"))), "^0x", ""), F.lit("0")))
+    first, only = _spelled(spark, d, "func_addr", at)
+    r = records(spark, d, "cast(size(tokens) as bigint) AS n_tokens", only=only)
+    return r.filter(F.col("func_addr") == first).orderBy("path_id").limit(12).select("path_id", "file", "n_tokens")
 
 
 _SHARDS = "SELECT DISTINCT trim(regexp_extract(file_name, '[^/]*$'), e' \\t\\n\\r') AS file FROM {t} WHERE file_name IS NOT NULL"

@@ -100,6 +100,27 @@ def mask_random_block(spark: SparkSession, d: str) -> DataFrame:
     return padded(spark, d).select("path_id", _bits(i).alias("input"), _bits(p).alias("prediction"))
 
 
+_RULE = f"WITH {PADDED}, n AS (SELECT path_id, w, {_REAL} AS n FROM padded) SELECT path_id, "
+
+
+@query(_RULE + "CASE WHEN n > 0 THEN 1 ELSE 0 END AS hidden, true AS same, true AS among_real FROM n")
+def mask_random_token_rule(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any random token mask: one place among the real ones, hidden and asked for."""
+    i, p = A.random_token_mask(F.col("ids"), F.col("path_id"))
+    r = padded(spark, d).select("path_id", i.alias("i"), (i == p).alias("same"), A.real_length(F.col("ids")).alias("n"))
+    return r.select("path_id", F.size(F.array_remove("i", F.lit(False))).alias("hidden"), "same", (F.array_position("i", True) <= F.col("n")).alias("among_real"))
+
+
+@query(_RULE + "least(8, w) AS hidden, true AS same, true AS in_a_row FROM n")
+def mask_random_block_rule(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any random block mask: eight places in a row, hidden and asked for."""
+    i, p = A.random_block_mask(F.col("ids"), F.col("path_id"), 8)
+    r = padded(spark, d).select("path_id", i.alias("i"), (i == p).alias("same"))
+    hidden = F.size(F.array_remove("i", F.lit(False)))
+    run = F.slice("i", F.greatest(F.array_position("i", True), F.lit(1)).cast("int"), hidden)
+    return r.select("path_id", hidden.cast("long").alias("hidden"), "same", (F.size(F.array_remove(run, F.lit(False))) == hidden).alias("in_a_row"))
+
+
 @query(f"WITH {PADDED}, n AS (SELECT path_id, ids, {_REAL} AS n FROM padded) SELECT path_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i - 1 >= n // 3 AND i - 1 < n THEN 2 ELSE x END), ' ') AS ids FROM n")
 def apply_mask(spark: SparkSession, d: str) -> DataFrame:
     i, _ = A.thirds_mask(F.col("ids"))

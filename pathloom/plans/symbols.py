@@ -37,7 +37,20 @@ def display_name(spark: SparkSession, d: str) -> DataFrame:
     return token_freq(corpus(spark, d)).select("token", K.display_name(F.col("token")).alias("name"))
 
 
-@query()
+_COLOR = f"""WITH {FREQ}, c AS (SELECT token, {CATEGORY_SQL} AS k, CAST('0x' || md5(token)[1:8] AS BIGINT) AS h FROM freq),
+v AS (SELECT token, CASE {" ".join(f"WHEN k = '{k}' THEN {v}::DOUBLE" for k, v in K.BASE_HUES.items())} END AS base, k, h FROM c),
+l AS (SELECT token, base + ((h >> 16) % 9 - 4) * 0.01::DOUBLE AS hue,
+  CASE k WHEN 'SPECIAL' THEN 0.13::DOUBLE + (h % 4) * 0.04::DOUBLE WHEN 'TEMP' THEN 0.38::DOUBLE + (h % 6) * 0.05::DOUBLE ELSE 0.42::DOUBLE + ((h >> 8) % 6) * 0.05::DOUBLE END AS light,
+  CASE k WHEN 'SPECIAL' THEN 0.10::DOUBLE WHEN 'TEMP' THEN 0.28::DOUBLE + (h % 5) * 0.08::DOUBLE ELSE 0.60::DOUBLE + (h % 7) * 0.05::DOUBLE END AS sat FROM v),
+m AS (SELECT token, hue - floor(hue) AS hue, light, CASE WHEN light <= 0.5 THEN light * (sat + 1) ELSE light + sat - light * sat END AS high FROM l),
+x AS (SELECT token, 2 * light - high AS low, high, unnest([1 / 3::DOUBLE, 0.0::DOUBLE, -1 / 3::DOUBLE]) + hue AS t, unnest([1, 2, 3]) AS n FROM m),
+y AS (SELECT token, n, low, high, t - floor(t) AS t FROM x),
+r AS (SELECT token, n, CAST(floor(255 * CASE WHEN t < 1 / 6::DOUBLE THEN low + (high - low) * t * 6 WHEN t < 0.5 THEN high WHEN t < 2 / 3::DOUBLE THEN low + (high - low) * (2 / 3::DOUBLE - t) * 6 ELSE low END) AS INTEGER) AS v FROM y),
+d AS (SELECT token, '#' || string_agg(lpad(lower(to_hex(v)), 2, '0'), '' ORDER BY n) AS color FROM r GROUP BY token)
+SELECT token, {_case("token", K.TOKEN_COLORS, "color")} AS color FROM d"""
+
+
+@query(_COLOR)
 def token_color(spark: SparkSession, d: str) -> DataFrame:
     return token_freq(corpus(spark, d)).select("token", K.token_color(F.col("token")).alias("color"))
 
@@ -67,6 +80,16 @@ def canon_stmt(spark: SparkSession, d: str) -> DataFrame:
     return _ops(spark, d).select("id", K.canon_stmt(F.get(kinds, F.col("id") % 6), F.col("tag"), F.col("op")).alias("canon"))
 
 
+@query(f"""SELECT block, CASE WHEN block % 5 = 0 THEN '<UNLIFTABLE>' ELSE coalesce(string_agg(canon, ' ' ORDER BY id), '') END AS tokens FROM (SELECT id // 8 AS block, id, CASE WHEN s = 'Ist_IMark' THEN NULL WHEN s = 'Ist_WrTmp' THEN {_OP_SQL}
+WHEN s = 'Ist_Store' THEN 'VEX_STORE' WHEN s = 'Ist_Put' THEN 'VEX_REG_WRITE' WHEN s = 'Ist_Exit' THEN 'VEX_EXIT_COND' ELSE 'VEX_' || s END AS canon FROM (SELECT v.id, o.op, o.tag, {_STMT_SQL.replace("id %", "v.id %")} AS s FROM vocab v JOIN ({_OPS_SQL}) o ON v.token = o.token)) GROUP BY block""")
+def canon_block(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary as blocks of eight statements, each fifth of which could not be lifted."""
+    kinds = F.array(*map(F.lit, ("Ist_WrTmp", "Ist_Store", "Ist_Put", "Ist_Exit", "Ist_IMark", "Ist_Dirty")))
+    s = _ops(spark, d).select(F.floor(F.col("id") / 8).cast("int").alias("block"), F.struct("id", F.get(kinds, F.col("id") % 6).alias("tag"), F.col("tag").alias("data_tag"), "op").alias("s"))
+    b = s.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("v"))
+    return b.select("block", F.array_join(K.canon_block(F.col("v"), F.col("block") % 5 != 0), " ").alias("tokens"))
+
+
 _API = "CASE WHEN id % 3 = 0 THEN '<API_' || upper(split_part(name, '@', 1)) || '>' WHEN id % 3 = 1 THEN '<SYSCALL_' || upper(name) || '>' END"
 _API_ROWS = "SELECT id, lower(regexp_extract(token, '^<(?:API|SYSCALL)_(.+)>$', 1)) || '@plt' AS name FROM vocab WHERE starts_with(token, '<API_') OR starts_with(token, '<SYSCALL_')"
 

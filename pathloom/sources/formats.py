@@ -174,8 +174,26 @@ def slug(title: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(title)), r"[^a-z0-9]+", "_")
 
 
-def latex_table(df: DataFrame, columns: list[str]) -> str:
-    """A small frame as rows of a LaTeX table."""
-    rows = df.select(*columns).limit(1000).collect()
+def latex_table(df: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A small frame as rows of a LaTeX table; one of more than ``most`` rows is an error."""
+    rows = df.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no table")
     head = " & ".join(c.replace("_", r"\_") for c in columns) + r" \\"
     return "\n".join([head, r"\hline", *(" & ".join("--" if v is None else str(v).replace("_", r"\_") for v in r) + r" \\" for r in rows)])
+
+
+def report_text(report: DataFrame, top: DataFrame | None = None) -> str:
+    """A corpus report of one row as text, a figure a line, and the most frequent tokens below."""
+    row = report.first()
+    wide = max(len(c) for c in report.columns)
+    shown = [f"{c.replace('_', ' '):<{wide}}  {f'{v:,.3f}' if isinstance(v, float) else '--' if v is None else f'{v:,}'}" for c, v in zip(report.columns, row, strict=True)]
+    if top is not None:
+        shown += ["", *(f"{r['token']:<40}{r['freq']:>14,}{r['share']:>8.2f} %" for r in top.orderBy(F.col("freq").desc(), "token").collect())]
+    return "\n".join(shown)
+
+
+def read_shard(spark: SparkSession, directory: str, file: str) -> DataFrame:
+    """The paths of one shard of what ``write_paths`` left: only its folder is read."""
+    kinds = T.StructType([*_CORRUPT.fields[1:], _CORRUPT.fields[0]])
+    return spark.read.schema(kinds).option("mode", "PERMISSIVE").json(directory).filter(F.col("file") == file)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .once import once
@@ -25,13 +25,15 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def records(spark: SparkSession, d: str, *columns: str, only: Column | None = None) -> DataFrame:
     """The corpus without token arrays: path_id, file, func_addr and expressions on ``tokens``.
 
     The arrays are reduced before ids are made unique, so that they are not shuffled.
+    only: a condition on columns as stored.
     """
     digits = F.ltrim(F.regexp_replace(F.lower(F.btrim("func_addr", F.lit(_BLANK))), "^0x", ""), F.lit("0"))
-    base = table(spark, d, "paths").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    base = table(spark, d, "paths")
+    base = (base if only is None else base.filter(only)).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     base = base.select("path_id", F.btrim(F.substring_index("file_name", "/", -1), F.lit(_BLANK)).alias("file"), F.concat(F.lit("0x"), digits).alias("func_addr"), *(F.expr(c) for c in columns))
     return base.dropDuplicates(["path_id"])
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.__main__ import main
 from pathloom.sources import formats
 from pathloom.streaming.token_counts import arrivals, run_to_end, token_counts
 
@@ -84,3 +85,36 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
     assert {(r.token, r.freq) for r in run_to_end(token_counts(stream)).collect()} == {("a", 2), ("b", 1)}
     assert sum(r.records for r in run_to_end(arrivals(stream)).collect()) == 4
+
+
+def test_reports_and_tables(spark):
+    one = spark.createDataFrame([(1234567, 0.5, None)], "paths long, share double, most int")
+    top = spark.createDataFrame([("a", 5, 50.0), ("b", 7, 70.0)], "token string, freq long, share double")
+    text = formats.report_text(one, top)
+    assert "1,234,567" in text and "0.500" in text and text.index("b  ") < text.index("a  ")
+    with pytest.raises(ValueError):
+        formats.latex_table(spark.range(3), ["id"], most=2)
+
+
+def test_one_shard_reads_one_folder(spark, tmp_path):
+    rows = [(f"s{i % 3}", "0x1", [str(i)]) for i in range(9)]
+    formats.write_paths(spark.createDataFrame(rows, "file string, func_addr string, tokens array<string>"), str(tmp_path / "out"))
+    df = formats.read_shard(spark, str(tmp_path / "out"), "s1")
+    assert sorted(r.tokens[0] for r in df.collect()) == ["1", "4", "7"]
+    assert "PartitionFilters: [isnotnull(file" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "p.jsonl").write_text('{"file": "f", "func_addr": "0x1", "tokens": ["a", "b", "a"]}\n{"file": "f", "func_addr": "0x2", "tokens": ["b"]}\n{"file": "f", "func_addr": "0x1", "tokens": ["a"]}\n')
+    out = str(tmp_path / "out")
+    assert main(["-E", str(tmp_path / "p.jsonl"), "none.jsonl", "-P", "--stdout", "-O", out]) == 0
+    said = capsys.readouterr().out
+    assert "none.jsonl does not exist" in said and said.count("0x1\n") == 2
+    at = f"{out}/p.jsonl-embeddings-predictor"
+    assert main(["-C", at, at, "-D", "--plot", "-O", out]) == 0
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert [x[:2] for x in lines] == [["0x1", "0x1"], ["0x1", "0x2"], ["0x2", "0x1"], ["0x2", "0x2"]]
+    assert all(float(x[2]) == pytest.approx(1, abs=1e-4) for x in lines if x[0] == x[1])
+    main(["-C", at, at, "-F", "0x1", "0x9"])
+    assert "no such functions" in capsys.readouterr().out
+    assert main(["-C", at, "nowhere"]) == 1

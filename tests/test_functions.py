@@ -100,3 +100,18 @@ def test_vectors(spark):
     r = one(spark, n=V.norm(a), d=V.distance(a, b), p=V.dot(a, b), c=V.cosine(a, b), z=V.l2_normalize(F.array(F.lit(0.0))), u=V.l2_normalize(a), m=V.chunk_mean(F.array(*map(F.lit, [1.0, 2.0, 3.0, 4.0, 9.0])), 2), s=V.chunk_mean(b, 2))
     assert (r.n, r.d, r.p) == (5.0, 4.0, 9.0) and r.c == pytest.approx(0.6) and r.z == [0.0] and r.u == pytest.approx([0.6, 0.8])
     assert r.m == [2.0, 3.0] and r.s == [3.0, 0.0]
+
+
+def test_tables_of_tokens_hold_the_expected_values(spark):
+    # written out, not taken from the tables under test
+    want = {
+        "VEX_REG_READ": ("REG", "REG_R"), "VEX_REG_FOO": ("REG", "VEX_REG"), "VEX_LOAD": ("MEM", "LOAD"), "VEX_STORE": ("MEM", "STOR"), "VEX_EXIT_COND": ("CTRL", "EXIT"),
+        "VEX_WrTmp": ("TEMP", "TMP"), "VEX_CONST": ("TEMP", "CST"), "VEX_OP_64T": ("ARITH", "64T"), "VEX_Ist_Dirty": ("SPECIAL", "Dirty"), "VEX_FOO": ("TEMP", "VEX_FOO"),
+        "JK_BORING": ("FLOW", "BORE"), "JK_PRIVILEGED": ("FLOW", "PRIVIL"), "<API_MALLOC>": ("API", "MALLOC"), "<SYSCALL_READ>": ("SYSCALL", "READ"), "<UNLIFTABLE>": ("SPECIAL", "UNLT"), "foo": ("SPECIAL", "foo"), "<PAD>": ("SPECIAL", "PAD"),
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: (r.c, r.n) for r in df.select("t", K.categorize(F.col("t")).alias("c"), K.display_name(F.col("t")).alias("n")).collect()}
+    assert got == want
+    edges = {"JK_BORING": "#8b949e", "JK_CALL": "#58a6ff", "JK_RET": "#f78166", "JK_NODECODE": "#30363d", "JK_SIGTRAP": "#e3b341", "JK_OTHER": "#30363d"}
+    df = spark.createDataFrame([(t,) for t in edges], "t string")
+    assert {r.t: r.c for r in df.select("t", K.edge_color(F.col("t")).alias("c")).collect()} == edges
