@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -39,12 +41,14 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once per application, so that none needs it on its own path."""
     if spark.sparkContext.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
-        at = os.path.join(tempfile.mkdtemp(prefix="pathloom-"), "pathloom.zip")
+        folder = tempfile.mkdtemp(prefix="pathloom-")  # on the driver, whose server the workers fetch from
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = os.path.join(folder, "pathloom.zip")
         with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, files in os.walk(here):
+            for inside, _, files in os.walk(here):
                 for name in files:
                     if name.endswith(".py"):
-                        full = os.path.join(folder, name)
+                        full = os.path.join(inside, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(here)))
         spark.sparkContext.addPyFile(at)
         _shipped.add(spark.sparkContext.applicationId)

@@ -45,7 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written() -> None:
-    """Removes every table that ``written`` left, as far as sessions still run."""
+    """Removes every table that ``written`` left, as far as sessions still run.
+
+    For long sessions: call it when the results of the queries so far are done
+    with.  It is called at exit as well.
+    """
     while _written:
         spark, at = _written.pop()
         try:
