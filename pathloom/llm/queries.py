@@ -118,7 +118,8 @@ def p7_share(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of 2,048 tokens of every review text, or of every piece of a longer one."""
-    packed = packing.pack(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text"))
+    tokenizer = spark.conf.get("spark.pathloom.tokenizer", packing.TOKENIZER)
+    packed = packing.pack(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text", tokenizer))
     return packed.withColumnRenamed("_item", "doc_id")
 
 
