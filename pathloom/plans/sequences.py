@@ -166,7 +166,7 @@ def group_paths(spark: SparkSession, d: str) -> DataFrame:
     return g.select("file", "func_addr", "paths", A.joined(F.col("v")).alias("ids"))
 
 
-@query(f"""WITH {PADDED}, r AS (SELECT c.file, c.func_addr, p.ids, row_number() OVER (PARTITION BY c.file, c.func_addr ORDER BY c.path_id) AS rn FROM corpus c JOIN padded p USING (path_id)),
+@query(f"""WITH {IDS}, r AS (SELECT file, func_addr, list_resize(ids[1:64], 64, 0) AS ids, row_number() OVER (PARTITION BY file, func_addr ORDER BY path_id) AS rn FROM enc),
 k AS (SELECT file, func_addr, count(*) AS n, string_agg(array_to_string(ids, ' '), ' ' ORDER BY rn) AS t FROM r WHERE rn <= 16 GROUP BY file, func_addr)
 SELECT file, func_addr, n AS paths, md5(t || repeat(' 0', CAST((16 - n) * 64 AS INTEGER))) AS tensor FROM k""")
 def func_tensor(spark: SparkSession, d: str) -> DataFrame:
