@@ -45,6 +45,7 @@ SAMPLE, SUBSPACE, DIMS, BITS = 10_000, 32, 12, 4
 BROADCAST_IDS = 1_000_000
 #: Records whose exact neighbours decide the number of orderings, and the number at which a warning ends the search for more.
 ASKED, MOST_ORDERINGS = 1024, 256
+UNSEEN = 8
 #: Cosines of vectors packed at 12 bits are closer than this to the true ones.
 SLACK = 0.001
 #: The share of a window that it takes of each neighbour.
@@ -350,8 +351,8 @@ def neighbours(
     elif len(taken) > 1:
         at = np.sort(np.random.default_rng(seed).permutation(len(taken))[:ASKED])
         a, b = _true_pairs(alone, np.array([drawn[i][0] for i in at]), sample[at], k, dim, least)
-        if len(a):
-            orderings = max(orderings, math.ceil(enough_orderings(windows, a, b, recall) * (1 + spare)))
+        # where the sample has no pair that is wanted, there are few, and UNSEEN orderings look for them
+        orderings = max(orderings, math.ceil(enough_orderings(windows, a, b, recall) * (1 + spare)) if len(a) else UNSEEN)
     windows.of(orderings - 1)
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
