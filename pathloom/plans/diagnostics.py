@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import JUMPS, STRUCTURAL, categorize
@@ -21,6 +21,11 @@ _H = "md5(concat(array_join(tokens, char(0)), char(0))) AS h"
 PERCENTS = (0, 10, 25, 50, 75, 90, 99, 100)
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as the SQL does it, by a product in floating point; ``F.round`` takes the decimal digits of ``x``."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 @query(f"WITH {FREQ} SELECT token, freq FROM freq")
 def token_freq(spark: SparkSession, d: str) -> DataFrame:
     return freq_of(corpus(spark, d))
@@ -143,9 +148,12 @@ def stage_stats(spark: SparkSession, d: str) -> DataFrame:
     size = (F.count_if((F.col("freq") >= 2) & ~F.col("token").isin(*SPECIALS)) + len(SPECIALS)).alias("n")
     r = c.select("path_id", "file", F.coalesce("func_addr", F.lit("?")).alias("func_addr"), F.size("tokens").alias("n"), F.expr(f"size(filter(tokens, t -> t IN ({_JUMPS})))").alias("j"), F.expr("size(filter(tokens, t -> startswith(t, 'VEX_')))").alias("v"))
     r = r.join(h.select("path_id", "entropy"), "path_id", "left")
+    # entropies are summed in the order of their ids: means that lie halfway depend on it
+    entropies = F.array_sort(F.collect_list(F.struct("path_id", F.coalesce("entropy", F.lit(0.0)).alias("e"))))
+    mean = F.aggregate(entropies, F.lit(0.0), lambda a, x: a + x["e"]) / F.count("*")
     s = r.groupBy("file", "func_addr").agg(
-        F.count("*").alias("paths"), F.sum("n").alias("tokens"), F.round(F.sum("n") / F.count("*"), 6).alias("mean_length"), F.sum("j").alias("blocks"), F.sum("v").alias("statements"),
-        F.round(F.sum("v") / F.nullif(F.sum("j"), F.lit(0)), 6).alias("ratio"), F.round(F.avg(F.coalesce("entropy", F.lit(0.0))), 5).alias("mean_entropy"),
+        F.count("*").alias("paths"), F.sum("n").alias("tokens"), _rounded(F.sum("n") / F.count("*"), 6).alias("mean_length"), F.sum("j").alias("blocks"), F.sum("v").alias("statements"),
+        _rounded(F.sum("v") / F.nullif(F.sum("j"), F.lit(0)), 6).alias("ratio"), _rounded(mean, 5).alias("mean_entropy"),
     )
     return s.withColumn("vocab_size", freq_of(c).agg(size).scalar())
 
