@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import MASK, MASKS, pad_truncate
-from .model import Weights, conv, ema_update, encode_batch, gelu
+from .model import SEEN, Weights, conv, ema_update, encode_batch, gelu
 
 
 def gelu_slope(x: np.ndarray) -> np.ndarray:
@@ -39,10 +39,6 @@ def _conv_back(x: np.ndarray, w: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray
     return dpad[:, half : half + n], dw, dy.sum((0, 1))
 
 
-#: Places to each side that a place of the encoder sees.
-SEEN = 5
-
-
 def seen_part(ids: np.ndarray, hidden: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The columns of each row that its asked places see; loss and gradients are the same as of the whole rows.
 

@@ -44,3 +44,16 @@ def test_padded_sequences_compare_as_if_encoded_whole():
                 got = e.compare(e.encode(a), e.encode(b))
                 assert np.allclose(got[0], whole[i] @ whole[j], atol=1e-5)
                 assert np.allclose(got[1], np.linalg.norm(whole[i] - whole[j]), atol=2e-3)
+
+
+def test_only_what_the_masked_place_sees_is_encoded(spark, sf):
+    ids, weights = models._model(spark, sf)
+    seen, same = models._model(spark, sf, M.SEEN)
+    assert all((weights[k] == same[k]).all() for k in weights)
+    whole = {r.path_id: r.ids for r in ids.collect()}
+    assert {r.path_id: r.ids for r in seen.collect()} == {k: v[-5:] for k, v in whole.items()}
+    w = {k: v.astype(np.float64) for k, v in weights.items()}
+    rows = [v for v in whole.values() if len(v) > 30][:20] + [[], [5], [5, 6, 7]]
+    for v in rows:
+        x = np.array([[*v, 2]])
+        assert np.allclose(M.encode_last(w, x), M.encode_batch(w, x)[:, -1])
