@@ -44,3 +44,19 @@ def test_places_that_are_not_seen_do_not_matter():
     loss, _ = training.loss_and_gradients(w, w, ids, asked, asked)
     assert loss == pytest.approx(model.masked_loss(w, w, ids, asked, asked))
     assert training.seen_part(ids, asked, asked)[0].shape == (4, 16)
+
+
+def test_only_what_is_seen_leaves_the_rows(spark):
+    """Long rows give what the whole padded ones give, step by step, and batches without an asked place decay the weights."""
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(np.float64) for k, v in model.init_weights(30, 4, 6, 5, 7).items()}
+    ids, hidden = rng.integers(3, 30, (5, 60)), np.zeros((5, 60), bool)
+    hidden[[0, 1, 2, 4, 4, 4], [0, 59, 31, 7, 8, 30]] = True
+    places = training.Places(np.full(5, 60), hidden.ravel())
+    assert len(places.ids) < 6 * 7 + 1 and np.allclose(places.forward(w, ids.ravel())["z"], model.encode_batch(w, ids)[hidden])
+    df = spark.createDataFrame([(i, rng.integers(3, 30, n).tolist()) for i, n in enumerate((400, 1, 0, 7, 12, 300, 64))], "k long, ids array<int>")
+    whole, cut = (training.train(df, "k", "ids", w, epochs=1, batch=3, length=n, workers=1)[2][0][1] for n in (500, 5000))
+    assert whole == pytest.approx(cut) and whole > 0
+    one = {k: v.copy() for k, v in w.items()}
+    training.AdamW(1e-3).step(one, None)
+    assert all(np.allclose(one[k], w[k] * (1 - 1e-5)) for k in w)
