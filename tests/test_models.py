@@ -57,3 +57,16 @@ def test_only_what_the_masked_place_sees_is_encoded(spark, sf):
     for v in rows:
         x = np.array([[*v, 2]])
         assert np.allclose(M.encode_last(w, x), M.encode_batch(w, x)[:, -1])
+
+
+def test_sequences_end_to_end_are_encoded_as_alone(monkeypatch):
+    w = {k: v.astype(np.float64) for k, v in M.init_weights(40, 4, 6, 6, 8).items()}
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 1, 2, 3, 0, 7, 300, 12, 0])
+    ids = rng.integers(0, 40, int(sizes.sum()))
+    ids[100:140] = ids[20:60]
+    ends = np.cumsum(sizes)
+    whole = np.concatenate([M.encode_batch(w, ids[e - n : e][None])[0] for n, e in zip(sizes, ends, strict=True) if n])
+    for places in (M.PLACES, 64):
+        monkeypatch.setattr(M, "PLACES", places)
+        assert np.allclose(np.concatenate(list(M.encode_flat(w, ids, sizes))), whole)
