@@ -70,3 +70,16 @@ def test_sequences_end_to_end_are_encoded_as_alone(monkeypatch):
     for places in (M.PLACES, 64):
         monkeypatch.setattr(M, "PLACES", places)
         assert np.allclose(np.concatenate(list(M.encode_flat(w, ids, sizes))), whole)
+
+
+def test_padded_rows_encoded_together_are_as_alone(monkeypatch):
+    w = M.init_weights(50, 4, 6, 6, 8)
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(3, 50, n) for n in (0, 1, 12, 29, 30, 31, 40, 60, 5)]
+    monkeypatch.setattr(M, "SHARED", 90)
+    e = M.PaddedEncoder(w, 40)
+    for r, z in zip(rows, e.encode_all(rows), strict=True):
+        x = np.zeros((1, 40), np.int64)
+        x[0, : min(40, len(r))] = r[:40]
+        assert len(z) == (40 if len(r) >= 30 else len(r) + 5)
+        assert np.allclose(z, M.encode_batch(w, x)[0, : len(z)], atol=1e-5)
